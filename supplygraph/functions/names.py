@@ -14,7 +14,18 @@ def _c(value) -> Column:
 
 def strip(col) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(" \t\n\r\f\v"))
+
+
+# one test per name: legal characters, at most 214, an optional scope, and no
+# leading dot or underscore
+NPM_NAME = r"^(?=[a-z0-9._~@/-]{1,214}$)(?:@[^/]+/)?[^/._][^/]*$"
+
+
+def npm_name(name) -> Column:
+    """Canonical npm name, NULL when the text cannot be one."""
+    text = F.lower(strip(name))
+    return F.when(text.rlike(NPM_NAME), text)
 
 
 def npm_name_problem(name) -> Column:
@@ -23,18 +34,15 @@ def npm_name_problem(name) -> Column:
     bare = F.regexp_replace(text, "^@[^/]+/", "")
     return (
         F.when(_c(name).isNull(), "missing")
+        .when(text.rlike(NPM_NAME), F.lit(None))
         .when(text == "", "empty")
         .when(F.length(text) > 214, "too long")
         .when((bare == "") | bare.contains("/"), "not a name")
         .when(bare.rlike("^[._]"), "leading dot or underscore")
-        .when(text.rlike("[^a-z0-9._~@/-]"), "illegal character")
+        .otherwise("illegal character")
     )
 
 
-def npm_name(name) -> Column:
-    return F.when(npm_name_problem(name).isNull(), F.lower(strip(name)))
-
-
 def pypi_name(name) -> Column:
     """Lower case, one dash for any run of separators, no dash at an edge."""
     text = F.regexp_replace(F.lower(strip(name)), r"[-_.]+", "-")
@@ -56,13 +64,11 @@ def canonical_name(name, ecosystem) -> Column:
 
 def package_purl(name, ecosystem=None) -> Column:
     """``pkg:npm/%40scope/bare`` or ``pkg:pypi/name``; NULL when the name is invalid."""
-    eco = F.lit("npm") if ecosystem is None else _c(ecosystem)
-    npm = npm_name(name)
-    npm_purl = F.when(
-        scope_of(npm).isNotNull(),
-        F.concat(F.lit("pkg:npm/"), F.url_encode(scope_of(npm)), F.lit("/"), bare_of(npm)),
-    ).otherwise(F.concat(F.lit("pkg:npm/"), npm))
-    return F.when(eco == "pypi", F.concat(F.lit("pkg:pypi/"), pypi_name(name))).otherwise(npm_purl)
+    text = F.lower(strip(name))
+    npm = F.when(text.rlike(NPM_NAME), F.concat(F.lit("pkg:npm/"), F.regexp_replace(text, "@(?=[^/]*/)", "%40")))
+    if ecosystem is None:
+        return npm
+    return F.when(_c(ecosystem) == "pypi", F.concat(F.lit("pkg:pypi/"), pypi_name(name))).otherwise(npm)
 
 
 def version_purl(name, version, ecosystem=None) -> Column:
@@ -114,30 +120,29 @@ def is_service_identity(username, email=None) -> Column:
     return by_user | F.coalesce(F.lower(strip(email)).isin(S.SERVICE_EMAILS), F.lit(False))
 
 
-def repository(raw) -> Column:
-    """``struct(host, owner, name)`` of any repository spelling, NULL if none."""
+def _repository_path(raw) -> Column:
+    """``host/owner/name`` in lower case for any repository spelling, NULL if none."""
     text = strip(raw)
-    short = r"^(?:github:)?([\w.-]+)/([\w.-]+)$"
-    is_short = text.rlike(short)
-    url = F.split(F.regexp_replace(text, r"^git\+", ""), "#")[0]
-    located = r"^(?:[a-z+]+://)?(?:[^@/]+@)?([^/:]+)[/:](.+)$"
-    segments = F.filter(F.split(F.regexp_extract(url, located, 2), "/"), lambda p: p != "")
-    from_url = F.struct(
-        F.lower(F.regexp_extract(url, located, 1)).alias("host"),
-        F.lower(F.get(segments, F.lit(0))).alias("owner"),
-        F.regexp_replace(F.lower(F.get(segments, F.lit(1))), r"\.git$", "").alias("name"),
+    short = r"^(?:github:)?([\w.-]+/[\w.-]+)$"
+    url = F.regexp_replace(text, r"^git\+|#.*$", "")
+    located = r"^(?:[a-z+]+://)?(?:[^@/]+@)?([^/:]+)[/:]/*([^/]+)/+([^/]+).*$"
+    path = F.when(text.rlike(short), F.regexp_replace(text, short, "github.com/$1")).when(
+        url.rlike(located), F.regexp_replace(F.regexp_replace(url, located, "$1/$2/$3"), r"(?<=.)\.git$", "")
     )
-    from_short = F.struct(
-        F.lit("github.com").alias("host"),
-        F.lower(F.regexp_extract(text, short, 1)).alias("owner"),
-        F.lower(F.regexp_extract(text, short, 2)).alias("name"),
+    return F.lower(path)
+
+
+def repository(raw) -> Column:
+    """``struct(host, owner, name)``, NULL if there is no repository in the text."""
+    parts = F.split(_repository_path(raw), "/")
+    return F.when(
+        parts.isNotNull(),
+        F.struct(F.get(parts, F.lit(0)).alias("host"), F.get(parts, F.lit(1)).alias("owner"), F.get(parts, F.lit(2)).alias("name")),
     )
-    return F.when(is_short, from_short).when(url.rlike(located) & (F.size(segments) >= 2), from_url)
 
 
 def repository_key(raw) -> Column:
-    ref = repository(raw)
-    return F.when(ref.isNotNull(), F.concat(F.lit("repo:"), F.concat_ws("/", ref["host"], ref["owner"], ref["name"])))
+    return F.concat(F.lit("repo:"), _repository_path(raw))
 
 
 def epoch_seconds(raw) -> Column:

@@ -55,45 +55,51 @@ def has_doubled_char(longer, shorter) -> Column:
     )
 
 
-def osa_distance(a, b, limit: int = 2) -> Column:
-    """Edit distance where a swap of neighbours costs one; ``limit + 1`` is "far".
+def osa_distance(a, b) -> Column:
+    """Edit distance where a swap of neighbours costs one; 3 stands for "further".
 
-    A distance within ``limit`` means plain Levenshtein within twice that, so
-    the built-in function settles the far pairs. The near ones run the row by
-    row recurrence as nested reductions, still inside the JVM.
+    Within two edits there are few shapes: plain edits (built-in Levenshtein),
+    one swap, two swaps, or a swap beside one edit that touches other
+    characters. Each is an equality or a one-edit test on the rest of the
+    name, so nothing but near pairs costs more than the built-in function.
     """
     x, y = _c(a), _c(b)
-    char = lambda text, i: F.substr(text, i, F.lit(1))
-
-    def next_row(state: Column, i: Column) -> Column:
-        older, old = state["older"], state["old"]
-
-        def cell(row: Column, j: Column) -> Column:
-            changed = F.when(char(x, i) == char(y, j), 0).otherwise(1)
-            swapped = (i > 1) & (j > 1) & (char(x, i) == char(y, j - 1)) & (char(x, i - 1) == char(y, j))
-            return F.array_append(
-                row,
-                F.least(
-                    F.get(old, j - 1) + changed,
-                    F.get(old, j) + 1,
-                    F.element_at(row, -1) + 1,
-                    F.when(swapped, F.get(older, j - 2) + 1),
-                ),
-            )
-
-        row = F.reduce(F.sequence(F.lit(1), F.length(y)), F.array(i), cell)
-        return F.struct(old.alias("older"), row.alias("old"))
-
-    start = F.struct(
-        F.array().cast("array<int>").alias("older"), F.sequence(F.lit(0), F.length(y)).alias("old")
-    )
-    near = F.reduce(F.sequence(F.lit(1), F.length(x)), start, next_row, lambda s: F.element_at(s["old"], -1))
+    one = F.lit(1)
+    at = lambda text, i: F.substr(text, i, one)
+    size, other = F.length(x), F.length(y)
+    shift = other - size
+    places = F.sequence(one, F.greatest(size - 1, one))
+    plain = F.levenshtein(x, y, 2)
+    differing = F.filter(F.sequence(one, F.greatest(size, one)), lambda i: at(x, i) != at(y, i))
+
+    def crossed(k: int) -> Column:
+        p, q = F.get(differing, F.lit(k)), F.get(differing, F.lit(k + 1))
+        return (q - p == 1) & (at(x, p) == at(y, q)) & (at(x, q) == at(y, p))
+
+    def edit_after(i: Column) -> Column:
+        return (
+            (F.substr(x, one, i - 1) == F.substr(y, one, i - 1)) & (at(x, i) == at(y, i + 1)) & (at(x, i + 1) == at(y, i))
+            & (F.levenshtein(F.substr(x, i + 2), F.substr(y, i + 2), 1) >= 0)
+        )
+
+    def edit_before(i: Column) -> Column:
+        j = i + shift
+        return (
+            (j >= 1) & (at(x, i) == at(y, j + 1)) & (at(x, i + 1) == at(y, j)) & (F.substr(x, i + 2) == F.substr(y, j + 2))
+            & (F.levenshtein(F.substr(x, one, i - 1), F.substr(y, one, j - 1), 1) >= 0)
+        )
+
+    beside = (size >= 2) & (F.abs(shift) <= 1) & F.exists(places, lambda i: edit_after(i) | edit_before(i))
     return (
         F.when(x.isNull() | y.isNull(), F.lit(None))
+        .when(F.abs(shift) > 2, 3)
         .when(x == y, 0)
-        .when((x == "") | (y == ""), F.least(F.length(x) + F.length(y), F.lit(limit + 1)))
-        .when(F.levenshtein(x, y, 2 * limit) >= 0, F.least(near, F.lit(limit + 1)))
-        .otherwise(limit + 1)
+        .when((plain == 1) | ((shift == 0) & (F.size(differing) == 2) & crossed(0)), 1)
+        .when(plain == 2, 2)
+        .when(F.levenshtein(x, y, 4) < 0, 3)
+        .when((shift == 0) & (F.size(differing) == 4) & crossed(0) & crossed(2), 2)
+        .when(beside, 2)
+        .otherwise(3)
         .cast("int")
     )
 
@@ -117,7 +123,7 @@ def is_naming_convention(candidate, target, scope_distance) -> Column:
     )
 
 
-def technique(candidate, target, distance, limit: int = 2) -> Column:
+def technique(candidate, target, distance) -> Column:
     """How the name resembles its target; NULL when it does not."""
     cb, tb, d = bare_of(candidate), bare_of(target), _c(distance)
     differing = F.filter(
@@ -135,5 +141,5 @@ def technique(candidate, target, distance, limit: int = 2) -> Column:
         .when(d == 0, F.lit(None))
         .when(swap, "transposition")
         .when(has_doubled_char(cb, tb), "repeated_char")
-        .when(d <= limit, "edit_distance")
+        .when(d <= 2, "edit_distance")
     )

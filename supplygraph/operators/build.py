@@ -187,12 +187,14 @@ def requires(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
 def range_join(ranges: DataFrame, versions: DataFrame, package: str, include_prerelease: bool = False) -> DataFrame:
     """Distinct (package, range) pairs with each admitted version.
 
-    Texts are parsed once per distinct value. The equality on the package
-    keeps the residual range test inside one package.
+    Range and version texts repeat heavily, so each distinct text is parsed
+    once, in a dimension of its own. The equality on the package keeps the
+    residual range test inside one package.
     """
-    wanted = ranges.select(package, "range").distinct().withColumn("sets", V.npm_range("range")).filter("sets IS NOT NULL")
-    held = versions.withColumn("ver", V.semver("version")).filter("ver IS NOT NULL")
-    joined = wanted.join(held, package)
+    wanted = ranges.select(package, "range").distinct()
+    parsed = wanted.select("range").distinct().select("range", V.npm_range("range").alias("sets"))
+    read = versions.select("version").distinct().select("version", V.semver("version").alias("ver"))
+    joined = wanted.join(versions, package).join(parsed, "range").join(read, "version")
     return joined.filter(V.satisfies(F.col("ver"), F.col("sets"), include_prerelease)).drop("sets")
 
 

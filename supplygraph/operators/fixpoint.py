@@ -56,7 +56,7 @@ def reach(
     first = first.groupBy(*key, "depth").agg(*[agg.alias(c) for c, agg in carry.items()]) if carry else (
         first.select(*key, "depth").distinct()
     )
-    frontier = seen.append(first.select(*cols))
+    frontier, _ = seen.append(first.select(*cols))
     with partitioned(edges.select(*edge_keys, "src", "dst"), *edge_keys, "src") as spread:
         for depth in range(start_depth + 1, max_depth + 1):
             step = frontier.withColumnRenamed("node", "src").join(spread, [*edge_keys, "src"]).drop("src")
@@ -68,8 +68,8 @@ def reach(
             if keep is not None:
                 step = step.filter(keep)
             fresh = step.join(seen.read().select(*key), key, "left_anti").select(*cols)
-            frontier = seen.append(fresh)
-            if frontier.isEmpty():
+            frontier, n = seen.append(fresh)
+            if n == 0:
                 break
     return seen.read()
 
@@ -94,8 +94,8 @@ def shortest_paths(
         reach(targets.select("node"), backward, [], scratch, max_hops).select("node").distinct(), "useful"
     )
     live = edges.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-    ends = scratch.save(targets.select(F.col("node").alias("target")).distinct(), "targets")
-    starts = scratch.save(seeds.select("source").distinct(), "sources")
+    ends = targets.select(F.col("node").alias("target")).distinct()
+    starts = seeds.select("source").distinct()
     pairs = scratch.save(
         reach(starts.select("source", F.col("source").alias("node")), live, ["source"], scratch, max_hops)
         .filter("depth > 0")
@@ -112,8 +112,8 @@ def shortest_paths(
                 .filter(~F.array_contains("path", F.col("dst")))
                 .select("source", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
             )
-            step = scratch.save(step, "step")
-            if step.isEmpty():
+            step, n = scratch.save_counted(step, "step")
+            if n == 0:
                 break
             found.append(
                 step.join(ends, step["node"] == ends["target"]).select(

@@ -131,7 +131,7 @@ def reach_with_path(seeds: DataFrame, edges: DataFrame, scratch: Scratch, max_de
     from supplygraph.session import GrowingTable
 
     seen = GrowingTable(scratch, "walk")
-    frontier = seen.append(seeds.select("pv", "node", F.lit(0).alias("depth"), "path"))
+    frontier, _ = seen.append(seeds.select("pv", "node", F.lit(0).alias("depth"), "path"))
     with partitioned(edges.select("src", "dst"), "src") as spread:
         for depth in range(1, max_depth + 1):
             step = (
@@ -141,8 +141,8 @@ def reach_with_path(seeds: DataFrame, edges: DataFrame, scratch: Scratch, max_de
                 .join(seen.read().select("pv", "node"), ["pv", "node"], "left_anti")
                 .select("pv", "node", F.lit(depth).alias("depth"), "path")
             )
-            frontier = seen.append(step)
-            if frontier.isEmpty():
+            frontier, n = seen.append(step)
+            if n == 0:
                 break
     return seen.read()
 
@@ -296,10 +296,10 @@ def call_depth(functions: DataFrame, calls: DataFrame, scratch: Scratch, cap: in
     levels = [level]
     with partitioned(calls.select(F.col("src").alias("fn"), "dst"), "fn") as spread:
         for depth in range(1, cap + 1):
-            level = scratch.save(
+            level, n = scratch.save_counted(
                 level.join(spread, "fn").select(F.col("dst").alias("fn"), F.lit(depth).alias("depth")).distinct(), f"level{depth}"
             )
-            if level.isEmpty():
+            if n == 0:
                 break
             levels.append(level)
     rows = levels[0]

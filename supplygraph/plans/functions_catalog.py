@@ -168,12 +168,12 @@ def _(fleet):
     return fleet.table("part").select("p_partkey", N.resolution_kind(manifest, spec).alias("kind"))
 
 
-_SKELETON_SQL = "regexp_replace(regexp_replace(lower(name), '^@[^/]+/', ''), '[-._]', '', 'g')"
+SKELETON_SQL = "regexp_replace(regexp_replace(lower(name), '^@[^/]+/', ''), '[-._]', '', 'g')"
 for _a, _b in Y.CONFUSABLES:
-    _SKELETON_SQL = f"replace({_SKELETON_SQL}, '{_a}', '{_b}')"
+    SKELETON_SQL = f"replace({SKELETON_SQL}, '{_a}', '{_b}')"
 
 
-@query("fn_skeleton", f"SELECT pk, name, {_SKELETON_SQL} AS skeleton FROM package")
+@query("fn_skeleton", f"SELECT pk, name, {SKELETON_SQL} AS skeleton FROM package")
 def _(fleet):
     return fleet.package.select("pk", "name", Y.skeleton("name").alias("skeleton"))
 

@@ -12,6 +12,7 @@ from supplygraph.operators import reach as R
 from supplygraph.operators import typosquat as T
 from supplygraph.operators import views as W
 from supplygraph.plans.domain import LIVE_FROM, LIVE_UNTIL
+from supplygraph.plans.functions_catalog import SKELETON_SQL
 from supplygraph.plans.registry import query
 
 # -- lockfile tree -----------------------------------------------------------------
@@ -82,18 +83,25 @@ link AS (SELECT d.lock_id, d.dep, d.from_path, h.found_path, f.pv AS src, t.pv A
   LEFT JOIN node f ON f.lock_id = d.lock_id AND f.path = d.from_path LEFT JOIN node t ON t.lock_id = d.lock_id AND t.path = h.found_path WHERE d.from_path IN ('', 'packages/api') OR f.pv IS NOT NULL) """
 
 
+def tree_entries(fleet):
+    """``lock_entry_table``, written once."""
+    if not hasattr(fleet, "_tree_entries"):
+        fleet._tree_entries = fleet.scratch.save(lock_entry_table(fleet), "lock_tree")
+    return fleet._tree_entries
+
+
 @query("join_dep_edges", _EDGE_SQL + """SELECT DISTINCT lock_id, CASE WHEN found_path IS NULL THEN 'unresolved' WHEN svc THEN 'direct' ELSE 'transitive' END AS kind,
 CASE from_path WHEN '' THEN 'svc' || lock_id WHEN 'packages/api' THEN 'api' || lock_id END AS service,
 CASE WHEN found_path IS NOT NULL AND NOT svc THEN src END AS src, dst, dep, CASE WHEN found_path IS NOT NULL AND svc THEN from_path = '' END AS dev
 FROM link WHERE found_path IS NULL OR svc OR src <> dst""")
 def _(fleet):
-    return B.dependency_edges(lock_entry_table(fleet))
+    return B.dependency_edges(tree_entries(fleet))
 
 
 @query("join_npm_graph", _EDGE_SQL + """SELECT DISTINCT lock_id, CASE WHEN svc THEN CASE from_path WHEN '' THEN 'svc:svc' || lock_id ELSE 'svc:api' || lock_id END ELSE src END AS parent, dst AS child
 FROM link WHERE found_path IS NOT NULL AND (svc OR src <> dst)""")
 def _(fleet):
-    return B.npm_graph(lock_entry_table(fleet))
+    return B.npm_graph(tree_entries(fleet))
 
 
 @query("join_repo_graph", """, e AS (SELECT src AS parent, dst AS child FROM lock_edge UNION ALL SELECT NULL, pv FROM lock_root UNION ALL SELECT pv, 'pkg:pypi/p' || (pk % 10) FROM package_version)
@@ -326,16 +334,25 @@ def _(fleet):
     return T.candidates(squat_names(fleet), squat_targets(fleet))
 
 
-@query("typosquat_edges", _SQUAT_SQL + """SELECT candidate, t.target, CASE t.pk % 4 WHEN 0 THEN 'transposition' ELSE 'separator' END AS technique,
-CAST(CASE t.pk % 4 WHEN 0 THEN 1 ELSE length(t.target) - length(replace(t.target, '-', '')) END AS INT) AS distance, t.downloads AS popularity_ratio
-FROM twin t JOIN top ON top.name = t.target WHERE t.pk % 4 IN (0, 1) AND t.downloads >= 10 AND candidate <> t.target""")
+_FOUND_SQL = _SQUAT_SQL + """, names AS (SELECT name, max(downloads) AS downloads FROM (SELECT name, downloads FROM p UNION ALL SELECT candidate, CASE WHEN pk % 8 = 3 THEN NULL ELSE 1 END FROM twin) GROUP BY name),
+n AS (SELECT name, downloads, regexp_extract(name, '^(@[^/]+)/', 1) AS scope, regexp_replace(name, '^@[^/]+/', '') AS bare, SKELETON AS skel FROM names),
+pair AS (SELECT c.name AS candidate, t.name AS target, c.bare AS cb, t.bare AS tb, c.scope AS cs, t.scope AS ts, c.skel = t.skel AS same, t.downloads // greatest(1, c.downloads) AS popularity_ratio,
+  least(damerau_levenshtein(c.bare, t.bare), 3) AS d FROM n c JOIN n t ON c.name <> t.name AND t.downloads >= greatest(1, c.downloads) * 10 AND (c.scope = t.scope OR c.bare = t.bare)
+  WHERE c.downloads IS NOT NULL AND length(c.bare) >= 4 AND t.name IN (SELECT name FROM top)),
+found AS (SELECT candidate, target, CASE WHEN cb = tb THEN 'scope_confusion' WHEN regexp_replace(cb, '[-._]', '', 'g') = regexp_replace(tb, '[-._]', '', 'g') THEN 'separator' WHEN same THEN 'homoglyph'
+  WHEN length(cb) = length(tb) AND d = 1 AND levenshtein(cb, tb) = 2 THEN 'transposition'
+  WHEN length(cb) = length(tb) + 1 AND list_bool_or([substr(cb, i, 1) = substr(cb, i + 1, 1) AND substr(cb, 1, i) || substr(cb, i + 2) = tb FOR i IN range(1, length(cb))]) THEN 'repeated_char'
+  ELSE 'edit_distance' END AS technique, CAST(d AS INT) AS distance, popularity_ratio
+  FROM pair WHERE (d <= 2 OR same) AND NOT ((cs = '') <> (ts = '') AND cb = tb)
+  AND NOT (cb <> tb AND (starts_with(cb, tb || '.') OR starts_with(cb, tb || '-') OR starts_with(cb, tb || '_') OR starts_with(tb, cb || '.') OR starts_with(tb, cb || '-') OR starts_with(tb, cb || '_')))) """.replace("SKELETON", SKELETON_SQL)
+
+
+@query("typosquat_edges", _FOUND_SQL + "SELECT candidate, target, technique, distance, popularity_ratio FROM found")
 def _(fleet):
     return T.edges(squat_names(fleet), squat_targets(fleet))
 
 
-@query("q_typosquats", _SQUAT_SQL + """SELECT candidate, t.target, CASE t.pk % 4 WHEN 0 THEN 'transposition' ELSE 'separator' END AS technique,
-CAST(CASE t.pk % 4 WHEN 0 THEN 1 ELSE length(t.target) - length(replace(t.target, '-', '')) END AS INT) AS distance
-FROM twin t JOIN top ON top.name = t.target JOIN advisory a ON a.name = t.target WHERE t.pk % 4 IN (0, 1) AND t.downloads >= 10 AND candidate <> t.target""")
+@query("q_typosquats", _FOUND_SQL + "SELECT candidate, target, technique, distance FROM found WHERE target IN (SELECT name FROM advisory)")
 def _(fleet):
     squats = T.edges(squat_names(fleet), squat_targets(fleet))
     return R.imitators(squats, fleet.advisory.select("name")).select("candidate", "target", "technique", "distance")

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Values a session needs for the jobs in this package. AQE does the run-time
 # sizing: it coalesces small shuffle partitions, splits skewed join partitions
@@ -64,15 +65,21 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/supplygraph-{label}-{uuid.uuid4().hex[:12]}"
         self._serial = 0
+        self.last = self.root
 
     def path(self, name: str) -> str:
         self._serial += 1
-        return f"{self.root}/{self._serial:04d}-{name}"
+        self.last = f"{self.root}/{self._serial:04d}-{name}"
+        return self.last
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.save_counted(df, name)[0]
+
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The written table and its row count, taken from the same job."""
+        path, seen = self.path(name), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 class GrowingTable:
@@ -81,12 +88,13 @@ class GrowingTable:
     def __init__(self, scratch: Scratch, name: str):
         self.scratch, self.name, self.paths, self.schema = scratch, name, [], None
 
-    def append(self, df: DataFrame) -> DataFrame:
-        path = self.scratch.path(self.name)
-        df.write.parquet(path)
+    def append(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The rows just added, read back, and how many they are."""
+        added, n = self.scratch.save_counted(df, self.name)
         self.schema = self.schema or df.schema
-        self.paths.append(path)
-        return self.scratch.spark.read.schema(self.schema).parquet(path)
+        if n or not self.paths:
+            self.paths.append(self.scratch.last)
+        return added, n
 
     def read(self) -> DataFrame:
         return self.scratch.spark.read.schema(self.schema).parquet(*self.paths)
