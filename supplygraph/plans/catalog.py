@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from supplygraph.plans import functions_catalog, graph_catalog  # noqa: F401
+from supplygraph.plans import findings_catalog, functions_catalog, graph_catalog, sources_catalog  # noqa: F401
 from supplygraph.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -347,5 +347,5 @@ def change_pages(texts: DataFrame, text: str) -> DataFrame:
 
 
 def read_change_feed(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """The feed as a stream of page files; the checkpoint is the cursor."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", "true").text(folder)
+    """The feed as a stream of files with one page per line; the checkpoint is the cursor."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
