@@ -159,7 +159,7 @@ class Fleet:
     @cached_property
     def incident(self) -> DataFrame:
         return self._keep(
-            self.package_version.filter("pk % 97 = 0 AND major = 1").select(
+            self.package_version.filter("pk % 97 = 0 AND major % 3 = 1").select(
                 F.concat(F.lit("SIM-"), F.col("pv")).alias("incident_id"), "pv", "pk", "name",
                 F.lit("SIMULATED").alias("status"),
                 F.lit(LIVE_FROM).cast("bigint").alias("live_from"), F.lit(LIVE_UNTIL).cast("bigint").alias("live_until"),

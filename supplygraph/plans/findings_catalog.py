@@ -8,7 +8,7 @@ from supplygraph.operators import findings as G
 from supplygraph.operators import publish as P
 from supplygraph.operators import reach as R
 from supplygraph.operators import views as W
-from supplygraph.plans.graph_catalog import squat_names, squat_targets
+from supplygraph.plans.graph_catalog import FOUND_SQL, squat_names, squat_targets
 from supplygraph.plans.registry import query
 
 # -- grading --------------------------------------------------------------------------
@@ -64,7 +64,7 @@ def squats(fleet):
     return fleet._squats
 
 
-@query("agg_findings", """, flag AS (SELECT pv FROM incident UNION SELECT pv FROM affects), live AS (SELECT DISTINCT r.pv, r.service FROM resolved_in r JOIN incident i ON i.pv = r.pv WHERE first_seen > 0 AND first_seen <= live_until AND last_seen >= live_from),
+_FINDINGS_SQL = """, flag AS (SELECT pv FROM incident UNION SELECT pv FROM affects), live AS (SELECT DISTINCT r.pv, r.service FROM resolved_in r JOIN incident i ON i.pv = r.pv WHERE first_seen > 0 AND first_seen <= live_until AND last_seen >= live_from),
 subj AS (SELECT DISTINCT name FROM flag JOIN package_version USING (pv)), l AS (SELECT DISTINCT maintainer, name, name IN (SELECT name FROM subj) AS s FROM maintained_by), t AS (SELECT maintainer, count(*) FILTER (s) AS n FROM l GROUP BY maintainer)
 SELECT pv AS subject, pv AS entity, 'PackageVersion' AS entity_type, 'DIRECTLY_COMPROMISED' AS status, 'DIRECTLY_COMPROMISED' AS atoms, 'CERTAIN' AS confidence, 0 AS n_negative FROM incident
 UNION ALL SELECT pv, pv, 'PackageVersion', 'VULNERABLE', 'KNOWN_VULNERABILITY', 'LOW', CASE WHEN pv IN (SELECT pv FROM incident) THEN 0 ELSE 1 END FROM (SELECT DISTINCT pv FROM affects)
@@ -72,7 +72,10 @@ UNION ALL SELECT r.pv, r.service, 'Project', CASE WHEN depth = 1 THEN 'DIRECTLY_
   'RESOLVES_COMPROMISED_VERSION' || CASE WHEN depth > 1 THEN '|TRANSITIVELY_EXPOSED' ELSE '' END || CASE WHEN live.pv IS NOT NULL THEN '|LIVE_WINDOW_OVERLAP' ELSE '' END, 'HIGH',
   CASE WHEN dev_only THEN 1 ELSE 0 END + CASE WHEN live.pv IS NULL AND r.pv IN (SELECT pv FROM live) THEN 1 ELSE 0 END
   FROM resolved_in r JOIN flag USING (pv) LEFT JOIN live ON live.pv = r.pv AND live.service = r.service
-UNION ALL SELECT 'maintainer ' || maintainer, name, 'Package', 'RELATED / INVESTIGATE', 'SHARED_MAINTAINER', 'INVESTIGATE', 3 FROM l JOIN t USING (maintainer) WHERE n > CASE WHEN s THEN 1 ELSE 0 END""")
+UNION ALL SELECT 'maintainer ' || maintainer, name, 'Package', 'RELATED / INVESTIGATE', 'SHARED_MAINTAINER', 'INVESTIGATE', 3 FROM l JOIN t USING (maintainer) WHERE n > CASE WHEN s THEN 1 ELSE 0 END"""
+
+
+@query("agg_findings", _FINDINGS_SQL)
 def _(fleet):
     none = fleet.package.select(F.col("name").alias("candidate"), F.col("name").alias("target")).limit(0)
     return G.findings(fleet, none).select(
@@ -80,9 +83,10 @@ def _(fleet):
     )
 
 
-@query("agg_findings_with_imitators")
+@query("agg_findings_with_imitators", FOUND_SQL + _FINDINGS_SQL.lstrip() + """
+UNION ALL SELECT target, candidate, 'Package', 'RELATED / INVESTIGATE', 'TYPOSQUAT_NEIGHBOR', 'INVESTIGATE', 1 FROM found WHERE target IN (SELECT name FROM subj)""")
 def _(fleet):
-    return G.findings(fleet, squats(fleet)).withColumn("atoms", F.array_join("atoms", "|"))
+    return G.findings(fleet, squats(fleet)).withColumn("atoms", F.array_join("atoms", "|")).withColumn("n_negative", F.col("n_negative").cast("int"))
 
 
 _WIDE_SQL = """, back AS (SELECT pv, pv AS node, 0 AS d FROM incident UNION SELECT b.pv, s.src, b.d + 1 FROM back b JOIN satisfied_by s ON s.dst = b.node WHERE b.d < 5),

@@ -329,12 +329,20 @@ def squat_targets(fleet):
     return T.popular_targets(fleet.package)
 
 
-@query("typosquat_candidates")
+_CANDIDATE_SQL = _SQUAT_SQL + """, names AS (SELECT name FROM p UNION SELECT candidate FROM twin),
+n AS (SELECT name, regexp_replace(name, '^@[^/]+/', '') AS bare, SKELETON AS skel FROM names),
+v0 AS (SELECT name, bare AS v FROM n WHERE length(bare) >= 4), v1 AS (SELECT DISTINCT name, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM (SELECT name, v, unnest(range(1, length(v) + 1)) AS i FROM v0)),
+v2 AS (SELECT DISTINCT name, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM (SELECT name, v, unnest(range(1, length(v) + 1)) AS i FROM v1)),
+tag AS (SELECT name, 'd:' || v AS t FROM v0 UNION SELECT name, 'd:' || v FROM v1 UNION SELECT name, 'd:' || v FROM v2 UNION SELECT name, 's:' || skel FROM n UNION SELECT name, 'b:' || bare FROM n)
+SELECT DISTINCT c.name AS candidate, x.name AS target FROM tag c JOIN tag x ON x.t = c.t AND x.name <> c.name WHERE x.name IN (SELECT name FROM top)""".replace("SKELETON", SKELETON_SQL)
+
+
+@query("typosquat_candidates", _CANDIDATE_SQL)
 def _(fleet):
     return T.candidates(squat_names(fleet), squat_targets(fleet))
 
 
-_FOUND_SQL = _SQUAT_SQL + """, names AS (SELECT name, max(downloads) AS downloads FROM (SELECT name, downloads FROM p UNION ALL SELECT candidate, CASE WHEN pk % 8 = 3 THEN NULL ELSE 1 END FROM twin) GROUP BY name),
+FOUND_SQL = _SQUAT_SQL + """, names AS (SELECT name, max(downloads) AS downloads FROM (SELECT name, downloads FROM p UNION ALL SELECT candidate, CASE WHEN pk % 8 = 3 THEN NULL ELSE 1 END FROM twin) GROUP BY name),
 n AS (SELECT name, downloads, regexp_extract(name, '^(@[^/]+)/', 1) AS scope, regexp_replace(name, '^@[^/]+/', '') AS bare, SKELETON AS skel FROM names),
 pair AS (SELECT c.name AS candidate, t.name AS target, c.bare AS cb, t.bare AS tb, c.scope AS cs, t.scope AS ts, c.skel = t.skel AS same, t.downloads // greatest(1, c.downloads) AS popularity_ratio,
   least(damerau_levenshtein(c.bare, t.bare), 3) AS d FROM n c JOIN n t ON c.name <> t.name AND t.downloads >= greatest(1, c.downloads) * 10 AND (c.scope = t.scope OR c.bare = t.bare)
@@ -347,12 +355,12 @@ found AS (SELECT candidate, target, CASE WHEN cb = tb THEN 'scope_confusion' WHE
   AND NOT (cb <> tb AND (starts_with(cb, tb || '.') OR starts_with(cb, tb || '-') OR starts_with(cb, tb || '_') OR starts_with(tb, cb || '.') OR starts_with(tb, cb || '-') OR starts_with(tb, cb || '_')))) """.replace("SKELETON", SKELETON_SQL)
 
 
-@query("typosquat_edges", _FOUND_SQL + "SELECT candidate, target, technique, distance, popularity_ratio FROM found")
+@query("typosquat_edges", FOUND_SQL + "SELECT candidate, target, technique, distance, popularity_ratio FROM found")
 def _(fleet):
     return T.edges(squat_names(fleet), squat_targets(fleet))
 
 
-@query("q_typosquats", _FOUND_SQL + "SELECT candidate, target, technique, distance FROM found WHERE target IN (SELECT name FROM advisory)")
+@query("q_typosquats", FOUND_SQL + "SELECT candidate, target, technique, distance FROM found WHERE target IN (SELECT name FROM advisory)")
 def _(fleet):
     squats = T.edges(squat_names(fleet), squat_targets(fleet))
     return R.imitators(squats, fleet.advisory.select("name")).select("candidate", "target", "technique", "distance")
@@ -396,7 +404,6 @@ def _(fleet):
 @query("q_transitive_dependents", """, w AS (SELECT pv, pv AS node, 0 AS depth FROM incident UNION SELECT w.pv, s.src, w.depth + 1 FROM w JOIN satisfied_by s ON s.dst = w.node WHERE w.depth < 5)
 SELECT pv, node AS dependent, CAST(min(depth) AS INT) AS depth FROM w GROUP BY pv, node HAVING min(depth) > 0""")
 def _(fleet):
-    # versions on the deepest lines have the dependents, so those are asked about
     return R.transitive_dependents(fleet.incident, fleet.satisfied_by, fleet.scratch)
 
 

@@ -37,7 +37,7 @@ advisory AS (SELECT 'CVE-2024-' || p_partkey AS advisory_id, p_partkey AS pk, re
 advisory_alias AS (SELECT advisory_id, 'GHSA-' || (pk % 50) AS alias FROM advisory),
 affects AS (SELECT a.advisory_id, v.pv, a.pk, a.name, v.version, a.severity, a.published, a.fixed_version, '0' AS introduced_version, coalesce(f.published_at, 0) AS fixed_published_at
   FROM advisory a JOIN package_version v ON v.pk = a.pk AND v.major < a.n LEFT JOIN package_version f ON f.pk = a.pk AND f.version = a.fixed_version),
-incident AS (SELECT 'SIM-' || pv AS incident_id, pv, pk, name, 820454400 AS live_from, 883612800 AS live_until FROM package_version WHERE pk % 97 = 0 AND major = 1),
+incident AS (SELECT 'SIM-' || pv AS incident_id, pv, pk, name, 820454400 AS live_from, 883612800 AS live_until FROM package_version WHERE pk % 97 = 0 AND major % 3 = 1),
 maintained_by AS (SELECT DISTINCT pk, name, 'user' || supp AS maintainer FROM entry WHERE major = 1 AND disc <= 0.01),
 published_by AS (SELECT pv, name, CASE WHEN min(supp) % 10 = 0 THEN 'github actions' ELSE 'user' || min(supp) END AS publisher FROM entry GROUP BY pv, name),
 sourced_from AS (SELECT v.pv, v.name, 'repo:github.com/' || lower(replace(p_brand, '#', '')) || '/' || lower(p_type) AS repo FROM package_version v JOIN part ON p_partkey = v.pk),

@@ -421,7 +421,7 @@ def _(fleet):
     return L.enrich(_alerts(fleet), resolved, near).select("package", "n_services", "n_frontier")
 
 
-@query("st_correlated_burst", """, g AS (SELECT e.publisher AS identity, e.package, e.event_id, (published_at // 3600 - i) * 3600 AS s FROM publish_event e, generate_series(0, 11) x(i))
+@query("st_correlated_burst", """, g AS (SELECT e.publisher AS identity, e.package, e.event_id, (published_at // 3600 - unnest(range(0, 12))) * 3600 AS s FROM publish_event e)
 SELECT identity, s AS started_at, s + 43200 AS ended_at, count(DISTINCT package) AS n_packages, count(*) AS n_artifacts FROM g GROUP BY identity, s HAVING count(DISTINCT package) >= 3""")
 def _(fleet):
     path = fleet.scratch.path("timed")
