@@ -26,23 +26,22 @@ def skeleton(name) -> Column:
     return text
 
 
-def _drop_one(text: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)),
-    )
-
-
-def deletion_variants(text, deletions: int = 2) -> Column:
-    """The text with up to ``deletions`` characters left out, never emptied."""
+def deletion_variants(text) -> Column:
+    """The text with up to two characters left out, never emptied."""
     whole = _c(text)
-    level, out = F.array(whole), F.array(whole)
-    for _ in range(deletions):
-        level = F.array_distinct(
-            F.flatten(F.transform(F.filter(level, lambda t: F.length(t) > 1), _drop_one))
+    n = F.length(whole)
+    until = lambda i: F.substr(whole, F.lit(1), i - 1)
+    one = F.when(n > 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(until(i), F.substr(whole, i + 1))))
+
+    def second(i: Column) -> Column:
+        return F.transform(
+            F.sequence(i + 1, n),
+            lambda j: F.concat(until(i), F.substr(whole, i + 1, j - i - 1), F.substr(whole, j + 1)),
         )
-        out = F.concat(out, level)
-    return F.array_distinct(out)
+
+    two = F.when(n > 2, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), second)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(whole), F.coalesce(one, none), F.coalesce(two, none)))
 
 
 def has_doubled_char(longer, shorter) -> Column:

@@ -187,15 +187,19 @@ def requires(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
 def range_join(ranges: DataFrame, versions: DataFrame, package: str, include_prerelease: bool = False) -> DataFrame:
     """Distinct (package, range) pairs with each admitted version.
 
-    Range and version texts repeat heavily, so each distinct text is parsed
-    once, in a dimension of its own. The equality on the package keeps the
-    residual range test inside one package.
+    The same texts recur over many packages. Each is parsed once, and the
+    (range, version) test is made once per distinct pair of texts; what the
+    packages hold is then an equi-join with the pairs that passed.
     """
     wanted = ranges.select(package, "range").distinct()
+    held = wanted.join(versions, package)
     parsed = wanted.select("range").distinct().select("range", V.npm_range("range").alias("sets"))
     read = versions.select("version").distinct().select("version", V.semver("version").alias("ver"))
-    joined = wanted.join(versions, package).join(parsed, "range").join(read, "version")
-    return joined.filter(V.satisfies(F.col("ver"), F.col("sets"), include_prerelease)).drop("sets")
+    passed = (
+        held.select("range", "version").distinct().join(parsed, "range").join(read, "version")
+        .filter(V.satisfies(F.col("ver"), F.col("sets"), include_prerelease)).select("range", "version", "ver")
+    )
+    return held.join(passed, ["range", "version"])
 
 
 def satisfied_by(requirements: DataFrame, versions: DataFrame, affected: DataFrame,

@@ -85,24 +85,26 @@ def shortest_paths(
     """Up to ``per_pair`` simple paths per (source, target), shortest first.
 
     ``seeds``: ``source``. ``edges``: ``src, dst``. ``targets``: ``node``.
-    Only nodes from which a target can still be reached are expanded. A source
-    leaves the frontier once every target it can reach has its paths, since
-    later rounds only yield longer ones. Equal lengths rank by path text.
+    The graph is first cut to what the sources reach, then to nodes from which
+    a target is still reachable, so only useful prefixes grow. A source leaves
+    the frontier once every target it can reach has its paths, since later
+    rounds only yield longer ones. Equal lengths rank by path text.
     """
-    backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    useful = scratch.save(
-        reach(targets.select("node"), backward, [], scratch, max_hops).select("node").distinct(), "useful"
-    )
-    live = edges.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     ends = targets.select(F.col("node").alias("target")).distinct()
     starts = seeds.select("source").distinct()
+    reached = reach(starts.select("source", F.col("source").alias("node")), edges, ["source"], scratch, max_hops)
     pairs = scratch.save(
-        reach(starts.select("source", F.col("source").alias("node")), live, ["source"], scratch, max_hops)
-        .filter("depth > 0")
-        .join(ends.withColumnRenamed("target", "node"), "node", "left_semi")
+        reached.filter("depth > 0").join(ends.withColumnRenamed("target", "node"), "node", "left_semi")
         .select("source", F.col("node").alias("target")),
         "pairs",
     )
+    near = reached.select(F.col("node").alias("src")).distinct()
+    around = scratch.save(edges.select("src", "dst").join(near, "src", "left_semi"), "around")
+    useful = reach(
+        pairs.select(F.col("target").alias("node")), around.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+        [], scratch, max_hops,
+    ).select(F.col("node").alias("dst")).distinct()
+    live = scratch.save(around.join(useful, "dst", "left_semi").select("src", "dst"), "live")
     frontier = starts.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
     found = GrowingTable(scratch, "paths")
     with partitioned(live, "src") as spread:
