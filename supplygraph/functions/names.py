@@ -125,7 +125,7 @@ def _repository_path(raw) -> Column:
     text = strip(raw)
     short = r"^(?:github:)?([\w.-]+/[\w.-]+)$"
     url = F.regexp_replace(text, r"^git\+|#.*$", "")
-    located = r"^(?:[a-z+]+://)?(?:[^@/]+@)?([^/:]+)[/:]/*([^/]+)/+([^/]+).*$"
+    located = r"^(?:[a-z+]+://)?+(?:[^@/]+@)?([^/:]+)[/:]/*([^/]+)/+([^/]+).*$"
     path = F.when(text.rlike(short), F.regexp_replace(text, short, "github.com/$1")).when(
         url.rlike(located), F.regexp_replace(F.regexp_replace(url, located, "$1/$2/$3"), r"(?<=.)\.git$", "")
     )

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites of every column expression are not worth their cost here
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

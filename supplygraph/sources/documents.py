@@ -30,6 +30,28 @@ def list_files(spark: SparkSession, root: str, name_glob: str = "*", content: bo
     return files.select(*cols, "content") if content else files.select(*cols)
 
 
+def watched_files(spark: SparkSession, root: str, services: list[str]) -> DataFrame:
+    """(path, size, content) of the watched folders of the given services.
+
+    Spark's listing leaves out names that begin with a dot, so these folders
+    are named as inputs. Only their existence is looked up on the driver; the
+    files below them are listed and read like any others. ``services`` holds
+    folders relative to ``root``, "" being the root itself.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for service in services:
+        for folder in S.WATCHED_DIRS:
+            path = "/".join(p for p in (root.rstrip("/"), service.strip("/"), folder) if p)
+            target = hadoop(path)
+            if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+                found.append(path)
+    if not found:
+        return spark.createDataFrame([], "path string, size bigint, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found)
+    return files.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content")
+
+
 def relative(path: Column, root: str) -> Column:
     clean = root.removeprefix("file:").rstrip("/")
     clean = "/" + clean.lstrip("/")
