@@ -68,16 +68,20 @@ def declared_dependencies(entries: DataFrame, dev: bool = True) -> DataFrame:
     return rows.groupBy("lock_id", "from_path", "dep").agg(F.bool_or("dev").alias("dev"))
 
 
-def dependency_edges(entries: DataFrame, dev: bool = True, workspace_hoist: bool = False) -> DataFrame:
+def dependency_edges(entries: DataFrame, dev: bool = True, workspace_hoist: bool = False,
+                     declared: DataFrame | None = None) -> DataFrame:
     """All resolved declarations of the given lockfile entries.
 
+    Declarations come from the entries' maps, or from ``declared`` (lock_id,
+    from_path, dep, dev) where they are a table of their own.
+
     Columns: lock_id, kind (``direct`` service to version, ``transitive``
     version to version, ``unresolved``), service, src, dst, dep, dev.
     """
     keyed = entries.withColumn("is_service", ~F.col("path").startswith("node_modules/")).withColumn(
         "pv", F.when(~F.col("is_service") & ~F.coalesce("link", F.lit(False)), N.version_purl("name", "version"))
     )
-    declared = declared_dependencies(keyed, dev)
+    declared = declared_dependencies(keyed, dev) if declared is None else declared
     found = resolve_dependencies(declared, keyed, workspace_hoist)
     to = keyed.select("lock_id", F.col("path").alias("found_path"), F.col("pv").alias("dst"))
     source = keyed.select(
@@ -106,9 +110,9 @@ def dependency_edges(entries: DataFrame, dev: bool = True, workspace_hoist: bool
     )
 
 
-def npm_graph(entries: DataFrame) -> DataFrame:
+def npm_graph(entries: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Edge list of the scanner view: the root is a node, no dev dependencies."""
-    edges = dependency_edges(entries, dev=False).filter("kind <> 'unresolved'")
+    edges = dependency_edges(entries, dev=False, declared=declared).filter("kind <> 'unresolved'")
     return edges.select(
         "lock_id", F.coalesce("src", N.service_key("service")).alias("parent"), F.col("dst").alias("child")
     ).distinct()

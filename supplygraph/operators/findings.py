@@ -206,9 +206,7 @@ def threats(fleet) -> DataFrame:
     )
     loads = fleet.import_reach.join(base.select("pv"), "pv", "left_semi")
     reach = loads.groupBy("pv").agg(F.count("*").alias("n_imports"), F.min("hops").alias("min_hops"))
-    users = loads.join(fleet.calls_external, ["service", "specifier"]).select("pv", "fn").distinct().groupBy("pv").agg(
-        F.count("*").alias("function_count")
-    )
+    users = function_counts(loads, fleet.calls_external)
     return (
         base.join(services, "pv", "left").join(reach, "pv", "left").join(users, "pv", "left")
         .select(
@@ -220,6 +218,28 @@ def threats(fleet) -> DataFrame:
     )
 
 
+def function_counts(loads: DataFrame, calls_external: DataFrame) -> DataFrame:
+    """Distinct functions that would run each version's code.
+
+    Versions loaded by the same imports have the same functions (all of an
+    import's subtree, as a rule), so functions are matched once per such class
+    and not once per version. A class is known by the number, extremes and two
+    hash sums of its imports, all of which aggregate before the shuffle.
+    """
+    key = F.struct("service", "specifier")
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "service", "specifier").cast("decimal(38,0)"))
+    classes = loads.groupBy("pv").agg(
+        F.count("*").alias("k0"), F.min(key).alias("k1"), F.max(key).alias("k2"), mark(1).alias("k3"), mark(2).alias("k4")
+    )
+    marks = ["k0", "k1", "k2", "k3", "k4"]
+    chosen = classes.groupBy(*marks).agg(F.min("pv").alias("chosen"))
+    per_class = (
+        loads.join(chosen.select(F.col("chosen").alias("pv")), "pv", "left_semi").join(calls_external, ["service", "specifier"])
+        .select(F.col("pv").alias("chosen"), "fn").distinct().groupBy("chosen").agg(F.count("*").alias("function_count"))
+    )
+    return classes.join(chosen, marks).join(per_class, "chosen").select("pv", "function_count")
+
+
 def threat_order() -> list[Column]:
     """Reached code first, then compromise, severity and breadth."""
     return [

@@ -350,14 +350,15 @@ def _(fleet):
     return v.select("raw", F.array_join("v.key.release", ".").alias("release"), "v.key.phase", "v.key.number", "v.prerelease")
 
 
-@query("ver_pep440_compare", _PEP_SQL + """, a AS (SELECT *, (major * 100 + minor) * 100 + step * 10 + num AS s FROM k)
-SELECT x.raw AS a, y.raw AS b, CAST(sign(x.s - y.s) AS INT) AS cmp FROM a x JOIN a y ON x.major = y.major AND x.minor = y.minor""", domain=False)
+OTHER_PEP = "l_linenumber || '.' || ((l_suppkey + l_partkey) % 10) || CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'rc1' ELSE '.post1' END"
+
+
+@query("ver_pep440_compare", f"""WITH t AS (SELECT DISTINCT {RAW_PEP} AS a, {OTHER_PEP} AS b, l_suppkey % 10 AS x, (l_suppkey + l_partkey) % 10 AS y, l_orderkey % 6 AS k, l_partkey % 3 AS n FROM lineitem),
+s AS (SELECT a, b, x * 100 + CASE k WHEN 4 THEN n WHEN 2 THEN 10 + n WHEN 3 THEN 30 + n ELSE 20 END AS sa, y * 100 + CASE n WHEN 0 THEN 20 WHEN 1 THEN 11 ELSE 31 END AS sb, k FROM t)
+SELECT DISTINCT a, b, CASE WHEN k <> 5 THEN CAST(sign(sa - sb) AS INT) END AS cmp FROM s""", domain=False)
 def _(fleet):
-    v = raw_pep(fleet).withColumn("v", V.pep440("raw")).filter("v IS NOT NULL")
-    key = F.struct(F.get("v.release", F.lit(0)).alias("a"), F.coalesce(F.get("v.release", F.lit(1)), F.lit(0)).alias("b"))
-    # the vocabulary of one release line is a handful of texts
-    left, right = v.select(key.alias("line"), F.col("raw").alias("a"), F.col("v").alias("va")), v.select(key.alias("line"), F.col("raw").alias("b"), F.col("v").alias("vb"))
-    return left.join(right, "line").select("a", "b", V.pep440_compare(F.col("va"), F.col("vb")).alias("cmp"))
+    pairs = fleet.table("lineitem").selectExpr(f"{RAW_PEP} AS a", f"{OTHER_PEP} AS b").distinct()
+    return pairs.select("a", "b", V.pep440_compare(V.pep440("a"), V.pep440("b")).alias("cmp"))
 
 
 @query("ver_pep440_sort", _PEP_SQL + "SELECT raw, CAST(row_number() OVER (PARTITION BY major ORDER BY minor, step, num, raw) AS BIGINT) AS place FROM k", domain=False)

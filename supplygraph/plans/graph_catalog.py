@@ -56,25 +56,17 @@ def _(fleet):
 
 
 def lock_entry_table(fleet):
-    """The tree as parsed lockfile entries, dependency maps included.
-
-    A map is built per declaring entry: its size is that of one package's own
-    dependency list.
-    """
-    deps = lock_declared(fleet).groupBy("lock_id", F.col("from_path").alias("path")).agg(F.collect_set("dep").alias("deps"))
-    services = deps.filter("path = '' OR path = 'packages/api'").select(
-        "lock_id", "path", F.when(F.col("path") == "", F.concat(F.lit("svc"), F.col("lock_id").cast("string"))).otherwise(F.concat(F.lit("api"), F.col("lock_id").cast("string"))).alias("service_name"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.lit(False).alias("link"), F.lit(False).alias("dev"),
+    """The tree's entries; their declarations stay a table (``lock_declared``)."""
+    none = F.lit(None).cast("string")
+    lock = F.col("lock_id").cast("string")
+    services = lock_declared(fleet).filter("from_path IN ('', 'packages/api')").select("lock_id", F.col("from_path").alias("path")).distinct().select(
+        "lock_id", "path", F.concat(F.when(F.col("path") == "", "svc").otherwise("api"), lock).alias("service_name"),
+        none.alias("name"), none.alias("version"), F.lit(False).alias("link"), F.lit(False).alias("dev"),
     )
     packages = lock_tree(fleet).groupBy("lock_id", "path").agg(F.min("name").alias("name"), F.min("version").alias("version"), F.bool_and("dev").alias("dev")).select(
-        "lock_id", "path", F.lit(None).cast("string").alias("service_name"), "name", "version", F.lit(False).alias("link"), "dev"
-    )
-    empty = F.create_map().cast("map<string,string>")
-    as_map = F.coalesce(F.map_from_entries(F.transform("deps", lambda d: F.struct(d.alias("k"), F.lit("*").alias("v")))), empty)
-    return services.unionByName(packages).join(deps, ["lock_id", "path"], "left").select(
-        "lock_id", "path", "service_name", "name", "version", "link", "dev", as_map.alias("dependencies"),
-        F.when(F.col("path") == "", as_map).otherwise(empty).alias("devDependencies"), empty.alias("optionalDependencies"), empty.alias("peerDependencies"),
+        "lock_id", "path", none.alias("service_name"), "name", "version", F.lit(False).alias("link"), "dev"
     )
+    return services.unionByName(packages)
 
 
 _EDGE_SQL = _TREE_SQL + """, node AS (SELECT lock_id, path, 'pkg:npm/' || min(name) || '@' || min(version) AS pv FROM (SELECT e.lock_id, e.name, e.version, CASE WHEN e.line <= 3 THEN 'node_modules/' || e.name ELSE 'node_modules/' || p.name || '/node_modules/' || e.name END AS path
@@ -95,13 +87,13 @@ CASE from_path WHEN '' THEN 'svc' || lock_id WHEN 'packages/api' THEN 'api' || l
 CASE WHEN found_path IS NOT NULL AND NOT svc THEN src END AS src, dst, dep, CASE WHEN found_path IS NOT NULL AND svc THEN from_path = '' END AS dev
 FROM link WHERE found_path IS NULL OR svc OR src <> dst""")
 def _(fleet):
-    return B.dependency_edges(tree_entries(fleet))
+    return B.dependency_edges(tree_entries(fleet), declared=lock_declared(fleet).withColumn("dev", F.col("from_path") == ""))
 
 
 @query("join_npm_graph", _EDGE_SQL + """SELECT DISTINCT lock_id, CASE WHEN svc THEN CASE from_path WHEN '' THEN 'svc:svc' || lock_id ELSE 'svc:api' || lock_id END ELSE src END AS parent, dst AS child
 FROM link WHERE found_path IS NOT NULL AND (svc OR src <> dst)""")
 def _(fleet):
-    return B.npm_graph(tree_entries(fleet))
+    return B.npm_graph(tree_entries(fleet), lock_declared(fleet).withColumn("dev", F.lit(False)))
 
 
 @query("join_repo_graph", """, e AS (SELECT src AS parent, dst AS child FROM lock_edge UNION ALL SELECT NULL, pv FROM lock_root UNION ALL SELECT pv, 'pkg:pypi/p' || (pk % 10) FROM package_version)
