@@ -107,7 +107,7 @@ def _(fleet):
 _THREAT_COLS = "pv, kind, severity, n_advisories, window_start, window_end, n_services, live_services, after_fix_services, in_code, min_hops, n_imports, function_count"
 
 
-@query("agg_threats", f"SELECT {_THREAT_COLS} FROM threat")
+@query("agg_threats", f"SELECT {_THREAT_COLS.replace('min_hops', 'CAST(min_hops AS BIGINT) AS min_hops')} FROM threat")
 def _(fleet):
     return G.threats(fleet).select(*_THREAT_COLS.split(", "))
 

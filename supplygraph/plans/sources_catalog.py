@@ -185,7 +185,7 @@ def raw_findings(fleet):
 
 
 _FIND_SQL = """SELECT CASE WHEN pk % 11 = 0 THEN '' WHEN pk % 11 = 1 THEN NULL ELSE name END AS package, CASE WHEN pk % 11 = 2 THEN '' ELSE version END AS version, advisory_id AS osv_id, 'GHSA-' || (pk % 50) || ';OSV-' || pk AS aliases, 'flaw, "quoted"' AS summary,
-CAST(CASE WHEN pk % 3 = 0 THEN pk % 10 END AS DOUBLE) AS score, CASE WHEN pk % 3 = 1 AND severity <> 'unknown' THEN severity ELSE '' END AS severity_label, 1704067200 AS published, 0 AS modified,
+CAST(CASE WHEN pk % 3 = 0 THEN pk % 10 END AS DOUBLE) AS score, CASE WHEN pk % 3 = 1 AND severity <> 'unknown' THEN severity ELSE '' END AS severity_label, CAST(1704067200 AS BIGINT) AS published, CAST(0 AS BIGINT) AS modified,
 CASE WHEN pk % 11 = 0 THEN 'missing package or osv_id' WHEN pk % 11 = 2 THEN 'no version' WHEN pk % 11 = 1 THEN 'unkeyable name' END AS skipped FROM affects"""
 _FIND_COLS = ["package", "version", "osv_id", "aliases", "summary", "score", "severity_label", "published", "modified", "skipped"]
 
