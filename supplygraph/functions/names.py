@@ -12,6 +12,16 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bound(fn, *cols) -> Column:
+    """``fn`` of the given columns, each evaluated once per row.
+
+    An expression used inside a lambda is otherwise evaluated again for every
+    element; one step over a single-element array turns it into a variable.
+    """
+    row = F.struct(*[_c(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    return F.get(F.transform(F.array(row), lambda t: fn(*[t[f"c{i}"] for i in range(len(cols))])), F.lit(0))
+
+
 def strip(col) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.btrim(_c(col), F.lit(" \t\n\r\f\v"))

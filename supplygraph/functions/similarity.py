@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from supplygraph.functions.names import _c, bare_of, scope_of
+from supplygraph.functions.names import _c, bare_of, bound, scope_of
 
 # fixed values: confusable spellings, applied top to bottom
 CONFUSABLES = [
@@ -28,8 +28,10 @@ def skeleton(name) -> Column:
 
 def deletion_variants(text) -> Column:
     """The text with up to two characters left out, never emptied."""
-    whole = _c(text)
-    n = F.length(whole)
+    return bound(_deletion_variants, text, F.length(_c(text)))
+
+
+def _deletion_variants(whole: Column, n: Column) -> Column:
     until = lambda i: F.substr(whole, F.lit(1), i - 1)
     one = F.when(n > 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(until(i), F.substr(whole, i + 1))))
 
@@ -46,7 +48,10 @@ def deletion_variants(text) -> Column:
 
 def has_doubled_char(longer, shorter) -> Column:
     """Is ``longer`` the other text with one character typed twice?"""
-    a, b = _c(longer), _c(shorter)
+    return bound(_doubled, longer, shorter)
+
+
+def _doubled(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b) + 1) & F.exists(
         F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1))),
         lambda i: (F.substr(a, i, F.lit(1)) == F.substr(a, i + 1, F.lit(1)))
@@ -62,7 +67,10 @@ def osa_distance(a, b) -> Column:
     characters. Each is an equality or a one-edit test on the rest of the
     name, so nothing but near pairs costs more than the built-in function.
     """
-    x, y = _c(a), _c(b)
+    return bound(_osa, a, b)
+
+
+def _osa(x: Column, y: Column) -> Column:
     one = F.lit(1)
     at = lambda text, i: F.substr(text, i, one)
     size, other = F.length(x), F.length(y)
@@ -124,7 +132,13 @@ def is_naming_convention(candidate, target, scope_distance) -> Column:
 
 def technique(candidate, target, distance) -> Column:
     """How the name resembles its target; NULL when it does not."""
-    cb, tb, d = bare_of(candidate), bare_of(target), _c(distance)
+    return bound(
+        _technique, bare_of(candidate), bare_of(target), _c(distance),
+        ~scope_of(candidate).eqNullSafe(scope_of(target)), skeleton(candidate) == skeleton(target),
+    )
+
+
+def _technique(cb: Column, tb: Column, d: Column, other_scope: Column, same_shape: Column) -> Column:
     differing = F.filter(
         F.sequence(F.lit(1), F.greatest(F.length(cb), F.lit(1))),
         lambda i: F.substr(cb, i, F.lit(1)) != F.substr(tb, i, F.lit(1)),
@@ -134,11 +148,11 @@ def technique(candidate, target, distance) -> Column:
         & (F.get(differing, F.lit(1)) - F.get(differing, F.lit(0)) == 1)
     )
     return (
-        F.when((cb == tb) & ~scope_of(candidate).eqNullSafe(scope_of(target)), "scope_confusion")
+        F.when((cb == tb) & other_scope, "scope_confusion")
         .when(no_separators(cb) == no_separators(tb), "separator")
-        .when(skeleton(candidate) == skeleton(target), "homoglyph")
+        .when(same_shape, "homoglyph")
         .when(d == 0, F.lit(None))
         .when(swap, "transposition")
-        .when(has_doubled_char(cb, tb), "repeated_char")
+        .when(_doubled(cb, tb), "repeated_char")
         .when(d <= 2, "edit_distance")
     )

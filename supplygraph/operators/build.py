@@ -22,10 +22,12 @@ def lookup_paths(from_path: Column, dep: Column, workspace_hoist: bool = False)
     Each ``node_modules`` component marks one step out. A workspace path holds
     none, so its search ends there unless ``workspace_hoist`` adds the root.
     """
-    parts = F.split(from_path, "/")
-    outer = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i) == "node_modules"),
-        lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
+    outer = N.bound(
+        lambda parts: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i) == "node_modules"),
+            lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
+        ),
+        F.split(from_path, "/"),
     )
     prefixes = F.concat(F.array(from_path), outer)
     if workspace_hoist:
