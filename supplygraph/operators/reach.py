@@ -15,8 +15,9 @@ def exact_lookup(versions: DataFrame, pv: str) -> DataFrame:
     return versions.filter(F.col("pv") == pv)
 
 
-def held_versions(versions: DataFrame, names: list[str]) -> DataFrame:
-    return versions.filter(F.col("name").isin(names))
+def held_versions(versions: DataFrame, names: DataFrame) -> DataFrame:
+    """Every version present of the given packages."""
+    return versions.join(names.select("name").distinct(), "name", "left_semi")
 
 
 def direct_dependents(subjects: DataFrame, satisfied_by: DataFrame) -> DataFrame:

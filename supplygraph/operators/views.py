@@ -9,7 +9,6 @@ from supplygraph import schema as S
 from supplygraph.functions import names as N
 from supplygraph.functions import versions as V
 from supplygraph.operators import findings as G
-from supplygraph.operators import publish as P
 from supplygraph.operators import reach as R
 from supplygraph.operators.fixpoint import top_k
 

@@ -13,7 +13,6 @@ from supplygraph.functions import similarity as Y
 from supplygraph.functions import versions as V
 from supplygraph.operators import build as B
 from supplygraph.operators import views as W
-from supplygraph.operators.fixpoint import top_k
 from supplygraph.plans.registry import query
 
 RAW_NAME = (

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from supplygraph.functions import names as N
 from supplygraph.operators import advisories as A
 from supplygraph.operators import build as B
 from supplygraph.operators import incident as I
@@ -383,9 +382,9 @@ def _(fleet):
     return fleet.package_version.filter(F.col("pv") == first).select("pv", "name", "version", "published_at")
 
 
-@query("q_held_versions", "SELECT pv, name, version FROM package_version WHERE name IN ('small-ring-0', 'red-widget-1')")
+@query("q_held_versions", "SELECT pv, name, version FROM package_version WHERE pk IN (0, 1, 2)")
 def _(fleet):
-    return R.held_versions(fleet.package_version, ["small-ring-0", "red-widget-1"]).select("pv", "name", "version")
+    return R.held_versions(fleet.package_version, fleet.package.filter("pk IN (0, 1, 2)")).select("pv", "name", "version")
 
 
 @query("q_direct_dependents", "SELECT dst AS pv, src AS dependent, range FROM satisfied_by")
