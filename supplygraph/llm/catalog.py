@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import common, decontaminate
+from supplygraph.llm import common, decontaminate, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_quality": quality.op7_quality,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.OP6_SQL,

@@ -24,7 +24,7 @@ class ChainCrf:
         out[seq, place] = values
         return out
 
-    def fit(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-4) -> ChainCrf:
+    def fit(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 80, rate: float = 0.2, decay: float = 1e-4) -> ChainCrf:
         """Maximum likelihood by Adam over the whole sample; deterministic."""
         keep = lengths > 0
         lengths = lengths[keep]
