@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import common, decontaminate, quality
+from supplygraph.llm import common, decontaminate, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
+    "op5_token_files": token_files.op5_token_files,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.OP6_SQL,
