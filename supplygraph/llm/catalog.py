@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import common, decontaminate, quality, token_files
+from supplygraph.llm import bpe, common, decontaminate, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
+    "op3_bpe": bpe.op3_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
     "op5_token_files": token_files.op5_token_files,
