@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import bpe, common, decontaminate, quality, token_files
+from supplygraph.llm import bpe, common, decontaminate, html, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ _QUERIES: dict[str, Query] = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
     "op5_token_files": token_files.op5_token_files,
+    "op9_html": html.op9_html,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.OP6_SQL,
