@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import bpe, common, decontaminate, html, quality, token_files
+from supplygraph.llm import bpe, common, decontaminate, html, quality, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,11 @@ _QUERIES: dict[str, Query] = {
     "op7_quality": quality.op7_quality,
     "op5_token_files": token_files.op5_token_files,
     "op9_html": html.op9_html,
+    "op10_url_lists": urls.op10_url_lists,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op10_url_lists": urls.OP10_SQL,
 }
 
 
