@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import bpe, common, decontaminate, html, quality, token_files, urls
+from supplygraph.llm import bpe, common, decontaminate, html, quality, secrets, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ _QUERIES: dict[str, Query] = {
     "op3_bpe": bpe.op3_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
+    "op4_secrets": secrets.op4_secrets,
     "op5_token_files": token_files.op5_token_files,
     "op9_html": html.op9_html,
     "op10_url_lists": urls.op10_url_lists,
