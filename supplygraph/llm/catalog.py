@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import bpe, common, decontaminate, html, quality, secrets, token_files, urls
+from supplygraph.llm import bpe, common, decontaminate, html, quality, secrets, substrings, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
+    "op1_substrings": substrings.op1_substrings,
     "op3_bpe": bpe.op3_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
@@ -20,6 +21,7 @@ _QUERIES: dict[str, Query] = {
     "op10_url_lists": urls.op10_url_lists,
 }
 ORACLES: dict[str, str] = {
+    "op1_substrings": substrings.OP1_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_url_lists": urls.OP10_SQL,
 }
