@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import bpe, common, decontaminate, html, quality, secrets, substrings, token_files, urls
+from supplygraph.llm import bpe, common, decontaminate, html, lines, quality, secrets, substrings, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op1_substrings": substrings.op1_substrings,
+    "op2_lines": lines.op2_lines,
     "op3_bpe": bpe.op3_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
