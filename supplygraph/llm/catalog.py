@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import bpe, common, decontaminate, html, lines, quality, secrets, substrings, token_files, urls
+from supplygraph.llm import bpe, common, decontaminate, html, lines, near, quality, secrets, substrings, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ _QUERIES: dict[str, Query] = {
     "op7_quality": quality.op7_quality,
     "op4_secrets": secrets.op4_secrets,
     "op5_token_files": token_files.op5_token_files,
+    "op8_near_duplicates": near.op8_near_duplicates,
     "op9_html": html.op9_html,
     "op10_url_lists": urls.op10_url_lists,
 }
