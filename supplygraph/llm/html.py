@@ -197,8 +197,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     return out
 
 
-def labelled_pages() -> Iterator[tuple[str, list[str]]]:
-    """Pages by rule, each with the texts of its main blocks in order.
+def labelled_pages() -> Iterator[tuple[str, set[str]]]:
+    """Pages by rule, each with the texts of its main blocks, which no other block has.
 
     A page is a main part (some name, headings, paragraphs, lists) among side
     parts (every side name in turn); texts are of varying length and of one
@@ -224,17 +224,18 @@ def labelled_pages() -> Iterator[tuple[str, list[str]]]:
         texts, body = [], []
         for j in range(int(rng.integers(1, 9))):
             kind = "h1" if j == 0 and k % 3 else ("p", "p", "p", "p", "h2", "li", "blockquote", "td", "pre", "div")[int(rng.integers(10))]
-            text = prose(1, 9) if kind in ("h1", "h2", "li", "td") else prose(1, 90)
+            text = f"{(prose(1, 9) if kind in ('h1', 'h2', 'li', 'td') else prose(1, 90))[:-1]} m{j}."
             texts.append(text)
             open_, close = {"li": ("<ul><li>", "</li></ul>"), "td": ("<table><tr><td>", "</td></tr></table>")}.get(kind, (f"<{kind}>", f"</{kind}>"))
             body.append(f"{open_}{text}{close}")
-        inside = side(chosen[3]) if k % 2 else ""
+        for name in chosen[3:] * (k % 3):
+            body.insert(int(rng.integers(0, len(body) + 1)), side(name))
         tag = f'<div class="{main[1:]}">' if main[0] == "." else f"<{main}>"
         head = f"<header>{side('nav')}</header>" if k % 2 else side("nav")
         yield (
-            f"<html><body>{head}{side(chosen[0])}{tag}{''.join(body)}{inside}</{'div' if main[0] == '.' else main}>{side(chosen[1])}{side(chosen[2])}{side('footer')}</body></html>"
-            if k % 5 else f"<html><body>{tag}{''.join(body)}{inside}</{'div' if main[0] == '.' else main}></body></html>",
-            texts,
+            f"<html><body>{head}{side(chosen[0])}{tag}{''.join(body)}</{'div' if main[0] == '.' else main}>{side(chosen[1])}{side(chosen[2])}{side('footer')}</body></html>"
+            if k % 5 else f"<html><body>{tag}{''.join(body)}</{'div' if main[0] == '.' else main}></body></html>",
+            set(texts),
         )
 
 
@@ -246,17 +247,12 @@ def trained() -> ChainCrf:
     if not _FIELD:
         parts, truth, lengths = [], [], []
         for page, texts in labelled_pages():
-            blocks, todo = blocks_of(page), list(texts)
-            labels = [0] * len(blocks)
-            # the main part's blocks stand together and in order
-            for i in range(len(blocks) - len(todo) + 1):
-                if [b.text for b in blocks[i: i + len(todo)]] == todo:
-                    labels[i: i + len(todo)] = [1] * len(todo)
-                    break
+            blocks = blocks_of(page)
+            labels = [int(b.text in texts) for b in blocks]
             parts.append(features(blocks))
             truth += labels
             lengths.append(len(blocks))
-        _FIELD.append(ChainCrf(N_FEATURES).fit(np.concatenate(parts).astype(float), np.array(truth), np.array(lengths), rounds=150))
+        _FIELD.append(ChainCrf(N_FEATURES).fit(np.concatenate(parts).astype(float), np.array(truth), np.array(lengths), rounds=200))
     return _FIELD[0]
 
 
