@@ -190,13 +190,13 @@ def _(fleet):
     return p.select("pk", Y.osa_distance("name", "twin").alias("distance"))
 
 
-@query("fn_deletion_variants", """, n AS (SELECT pk, substr(name, 1, 9) AS s FROM package),
-one AS (SELECT pk, s, substr(s, 1, i - 1) || substr(s, i + 1) AS v FROM n, generate_series(1, 9) g(i) WHERE i <= length(s)),
-two AS (SELECT pk, s, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM one, generate_series(1, 8) g(i) WHERE i <= length(v)),
+@query("fn_deletion_variants", """, n AS (SELECT pk, name AS s FROM package),
+one AS (SELECT DISTINCT pk, s, substr(s, 1, i - 1) || substr(s, i + 1) AS v FROM (SELECT pk, s, unnest(range(1, length(s) + 1)) AS i FROM n)),
+two AS (SELECT DISTINCT pk, s, substr(v, 1, i - 1) || substr(v, i + 1) AS v FROM (SELECT pk, s, v, unnest(range(1, length(v) + 1)) AS i FROM one)),
 every AS (SELECT pk, s AS v FROM n UNION SELECT pk, v FROM one UNION SELECT pk, v FROM two)
 SELECT pk, count(*) AS n_variants, min(v) AS first_variant, max(v) AS last_variant FROM every GROUP BY pk""")
 def _(fleet):
-    v = fleet.package.select("pk", Y.deletion_variants(F.substring("name", 1, 9)).alias("v"))
+    v = fleet.package.select("pk", Y.deletion_variants("name").alias("v"))
     return v.select("pk", F.size("v").cast("bigint").alias("n_variants"), F.array_min("v").alias("first_variant"), F.array_max("v").alias("last_variant"))
 
 
@@ -253,7 +253,8 @@ def raw_versions(fleet):
 CASE WHEN ok THEN major || '.' || minor || '.' || patch || CASE WHEN pre = '' THEN '' ELSE '-' || pre END END AS canonical FROM g""", domain=False)
 def _(fleet):
     v = raw_versions(fleet).withColumn("v", V.semver("raw"))
-    return v.select("raw", "v.major", "v.minor", "v.patch", V.semver_text(F.col("v")).alias("canonical"))
+    number = lambda part: F.col(f"v.{part}").cast("bigint").alias(part)  # noqa: E731  the numbers of this table are small
+    return v.select("raw", number("major"), number("minor"), number("patch"), V.semver_text(F.col("v")).alias("canonical"))
 
 
 @query("ver_semver_order", _V_SQL + """, k AS (SELECT raw, major, minor, patch, CASE WHEN pre = '' THEN 1 ELSE 0 END AS rel, split_part(pre, '.', 1) AS word, coalesce(TRY_CAST(split_part(pre, '.', 2) AS INT), -1) AS num FROM g WHERE ok)
@@ -289,13 +290,11 @@ w AS (SELECT *, CASE k WHEN 0 THEN n * 10000 + 200 WHEN 1 THEN n * 10000 + 300 W
 
 @query("ver_range_satisfies", _PAIR_SQL + """SELECT DISTINCT raw, range, CASE WHEN NOT ok OR k = 7 THEN NULL WHEN pre THEN false
 ELSE (v >= lo AND v < hi) OR (k = 6 AND v = 10101) END AS ok,
-CASE WHEN NOT ok OR k = 7 THEN NULL WHEN pre AND k IN (1, 2, 3, 4, 6) THEN (v >= lo AND v < hi) WHEN pre AND k = 0 THEN v > lo AND v < hi
+CASE WHEN NOT ok OR k = 7 THEN NULL WHEN pre AND k IN (1, 2, 4, 6) THEN (v >= lo AND v < hi) WHEN pre AND k IN (0, 3) THEN v > lo AND v < hi
 WHEN pre THEN true ELSE (v >= lo AND v < hi) OR (k = 6 AND v = 10101) END AS ok_with_prerelease
-FROM w WHERE NOT (pre AND k = 3)""", domain=False)
+FROM w""", domain=False)
 def _(fleet):
     pairs = fleet.table("lineitem").selectExpr(f"{RAW_VERSION} AS raw", f"{RAW_RANGE} AS range").distinct()
-    # the written floor of form 3 treats prereleases of the floor differently; it is tested by itself
-    pairs = pairs.filter(~(F.col("raw").contains("-") & F.col("range").startswith(">=")))
     parsed = pairs.withColumn("v", V.semver("raw")).withColumn("s", V.npm_range("range"))
     return parsed.select("raw", "range", V.satisfies(F.col("v"), F.col("s")).alias("ok"), V.satisfies(F.col("v"), F.col("s"), True).alias("ok_with_prerelease"))
 
@@ -342,11 +341,11 @@ def raw_pep(fleet):
     return fleet.table("lineitem").selectExpr(f"{RAW_PEP} AS raw").distinct()
 
 
-@query("ver_pep440_parse", _PEP_SQL + """SELECT raw, CASE WHEN minor = 0 THEN CAST(major AS VARCHAR) ELSE major || '.' || minor END AS release, CAST(phase AS INT) AS phase,
-CAST(num AS BIGINT) AS number, k IN (2, 4) AS prerelease FROM k""", domain=False)
+@query("ver_pep440_parse", _PEP_SQL + """SELECT DISTINCT raw, CASE WHEN k <> 5 THEN CASE WHEN minor = 0 THEN CAST(major AS VARCHAR) ELSE major || '.' || minor END END AS release,
+CAST(CASE k WHEN 4 THEN -1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 5 THEN NULL ELSE 3 END AS INT) AS phase, CASE WHEN k <> 5 THEN CAST(num AS BIGINT) END AS number, CASE WHEN k <> 5 THEN k IN (2, 4) END AS prerelease FROM t""", domain=False)
 def _(fleet):
-    v = raw_pep(fleet).withColumn("v", V.pep440("raw")).filter("v IS NOT NULL")
-    return v.select("raw", F.array_join("v.key.release", ".").alias("release"), "v.key.phase", "v.key.number", "v.prerelease")
+    v = raw_pep(fleet).withColumn("v", V.pep440("raw"))
+    return v.select("raw", F.array_join("v.key.release", ".").alias("release"), "v.key.phase", F.col("v.key.number").cast("bigint").alias("number"), "v.prerelease")
 
 
 OTHER_PEP = "l_linenumber || '.' || ((l_suppkey + l_partkey) % 10) || CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'rc1' ELSE '.post1' END"
@@ -394,7 +393,7 @@ FROM advisory a JOIN package_version v USING (pk)""")
 def _(fleet):
     a = fleet.advisory.select("advisory_id", "pk", F.lit("2.0.0").alias("lo"), F.concat((F.regexp_extract("fixed_version", r"^(\d+)", 1).cast("int") + 1).cast("string"), F.lit(".0.0")).alias("hi"))
     v = fleet.package_version.select("pk", "version")
-    return a.join(v, "pk").select("advisory_id", "version", V.loose_contains("version", "lo", "hi").alias("inside"), F.get(V.loose_key("version"), F.lit(0)).alias("first_part"))
+    return a.join(v, "pk").select("advisory_id", "version", V.loose_contains("version", "lo", "hi").alias("inside"), F.get(V.loose_key("version"), F.lit(0)).cast("bigint").alias("first_part"))
 
 
 @query("ver_fix_list", """, f AS (SELECT advisory_id, unnest([n || '.0.0', (n + 1) || '.0.0', 'next', '1.0.' || n]) AS fix FROM advisory)
