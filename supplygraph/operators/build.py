@@ -139,7 +139,7 @@ def repo_graph(*edge_lists: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def closure(roots: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int = 64) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
     """Versions reachable from each lockfile's direct dependencies.
 
     ``roots``: lock_id, service, observed_at, pv, dev. ``edges``: lock_id, src, dst.
@@ -341,7 +341,7 @@ def artifact_scan(files: DataFrame, ioc_paths: list[str], content_markers: list[
     content. ``ioc_paths`` and ``content_markers`` are one advisory's indicator
     lists. A root artefact counts for every service of its repository.
     """
-    content = F.substring(F.col("content"), 1, S.MAX_READ_BYTES)
+    content = F.col("content")
     watched, by_path, by_content = F.lit(False), F.lit(False), F.lit(False)
     for folder in S.WATCHED_DIRS:
         watched = watched | F.col("path").startswith(folder + "/")

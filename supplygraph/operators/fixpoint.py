@@ -1,32 +1,28 @@
 """Iterative jobs: breadth-first reach, path enumeration, components.
 
-All loops are semi-naive. A round joins only the rows found in the round
-before with the edges, removes what is already known with an anti join and
-appends the rest to a written table. Edges are hash-partitioned on their join
-columns once and reused by every round, so a round shuffles only its frontier.
+All loops are semi-naive: a round joins only the rows found in the round before
+with the edges, removes what is already known with an anti join and appends the
+rest to a written table. They end when nothing new is found; a bound on the
+depth is part of a question and never a default here. Edges are a written table
+and joined as they are: a small frontier is broadcast by its measured size and
+the edges do not move, a large one is joined by a shuffle whose hot keys the
+adaptive skew join may split. The anti join reads the known rows in each round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
+from itertools import count
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplygraph.session import GrowingTable, Scratch
 
 
-@contextmanager
-def partitioned(edges: DataFrame, *keys: str):
-    """Edges spread on ``keys`` and kept on disk for the length of a loop."""
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = edges.repartition(n, *keys).persist(StorageLevel.DISK_ONLY)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
+def rounds(first: int, last: int | None):
+    """Depths from ``first`` to ``last``, without an end if that is None."""
+    return count(first) if last is None else range(first, last + 1)
 
 
 def reach(
@@ -34,7 +30,7 @@ def reach(
     edges: DataFrame,
     group: Sequence[str],
     scratch: Scratch,
-    max_depth: int,
+    max_depth: int | None = None,
     carry: dict[str, Column] | None = None,
     start_depth: int = 0,
     edge_keys: Sequence[str] = (),
@@ -46,7 +42,8 @@ def reach(
     ``edges``: ``edge_keys`` (shared with the seeds), ``src``, ``dst``.
     ``carry`` maps a column to the aggregate that picks its value among the
     equally short arrivals, which makes witnesses deterministic.
-    ``keep`` is a predicate on new rows, evaluated every round.
+    ``keep`` is a predicate on new rows, evaluated every round. Without
+    ``max_depth`` the walk ends when a round finds nothing new.
     """
     carry = carry or {}
     key = [*group, "node"]
@@ -57,20 +54,20 @@ def reach(
         first.select(*key, "depth").distinct()
     )
     frontier, _ = seen.append(first.select(*cols))
-    with partitioned(edges.select(*edge_keys, "src", "dst"), *edge_keys, "src") as spread:
-        for depth in range(start_depth + 1, max_depth + 1):
-            step = frontier.withColumnRenamed("node", "src").join(spread, [*edge_keys, "src"]).drop("src")
-            step = step.withColumnRenamed("dst", "node").drop("depth")
-            step = step.groupBy(*key).agg(*[agg.alias(c) for c, agg in carry.items()]) if carry else (
-                step.select(*key).distinct()
-            )
-            step = step.withColumn("depth", F.lit(depth))
-            if keep is not None:
-                step = step.filter(keep)
-            fresh = step.join(seen.read().select(*key), key, "left_anti").select(*cols)
-            frontier, n = seen.append(fresh)
-            if n == 0:
-                break
+    edges = scratch.save(edges.select(*edge_keys, "src", "dst"), "edges")
+    for depth in rounds(start_depth + 1, max_depth):
+        step = frontier.withColumnRenamed("node", "src").join(edges, [*edge_keys, "src"]).drop("src")
+        step = step.withColumnRenamed("dst", "node").drop("depth")
+        step = step.groupBy(*key).agg(*[agg.alias(c) for c, agg in carry.items()]) if carry else (
+            step.select(*key).distinct()
+        )
+        step = step.withColumn("depth", F.lit(depth))
+        if keep is not None:
+            step = step.filter(keep)
+        fresh = step.join(seen.read().select(*key), key, "left_anti").select(*cols)
+        frontier, n = seen.append(fresh)
+        if n == 0:
+            break
     return seen.read()
 
 
@@ -107,27 +104,26 @@ def shortest_paths(
     live = scratch.save(around.join(useful, "dst", "left_semi").select("src", "dst"), "live")
     frontier = starts.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
     found = GrowingTable(scratch, "paths")
-    with partitioned(live, "src") as spread:
-        for hops in range(1, max_hops + 1):
-            step = (
-                frontier.join(spread, frontier["node"] == spread["src"])
-                .filter(~F.array_contains("path", F.col("dst")))
-                .select("source", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-            )
-            step, n = scratch.save_counted(step, "step")
-            if n == 0:
-                break
-            found.append(
-                step.join(ends, step["node"] == ends["target"]).select(
-                    "source", "target", F.lit(hops).alias("hops"), "path"
-                )
-            )
-            have = found.read().groupBy("source", "target").agg(F.count("*").alias("n"))
-            waiting = (
-                pairs.join(have.filter(F.col("n") >= per_pair), ["source", "target"], "left_anti")
-                .select("source").distinct()
+    for hops in range(1, max_hops + 1):
+        step = (
+            frontier.join(live, frontier["node"] == live["src"])
+            .filter(~F.array_contains("path", F.col("dst")))
+            .select("source", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        )
+        step, n = scratch.save_counted(step, "step")
+        if n == 0:
+            break
+        found.append(
+            step.join(ends, step["node"] == ends["target"]).select(
+                "source", "target", F.lit(hops).alias("hops"), "path"
             )
-            frontier = step.join(waiting, "source", "left_semi")
+        )
+        have = found.read().groupBy("source", "target").agg(F.count("*").alias("n"))
+        waiting = (
+            pairs.join(have.filter(F.col("n") >= per_pair), ["source", "target"], "left_anti")
+            .select("source").distinct()
+        )
+        frontier = step.join(waiting, "source", "left_semi")
     if not found.paths:
         empty = starts.select(
             "source", F.col("source").alias("target"), F.lit(0).alias("hops"), F.array("source").alias("path"),
@@ -145,12 +141,13 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int)
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components: ``(node, root)``, the root being the least node.
 
     Alternating star contraction. Each half-round is one ``min`` per node
     (partially aggregated before the shuffle) and one join; no neighbour list
-    is ever collected, so a hub with a third of all links stays cheap.
+    is ever collected, so a hub with a third of all links stays cheap. The loop
+    ends when every node has one parent and no parent has one itself.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     nodes = both.select(F.col("u").alias("node")).union(both.select("v")).distinct()
@@ -176,12 +173,13 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40) -> Data
         both.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "links",
     )
-    signature = None
-    for _ in range(max_rounds):
-        edges = scratch.save(star(scratch.save(star(edges, True), "large"), False), "small")
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == signature:
+    while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+            edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+        )
+        unsettled = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if unsettled.filter("below > 1 OR (below > 0 AND above > 0)").isEmpty():
             break
-        signature = tuple(mark)
+        edges = scratch.save(star(scratch.save(star(edges, True), "large"), False), "small")
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

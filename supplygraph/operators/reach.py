@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from supplygraph import schema as S
 from supplygraph.functions import names as N
-from supplygraph.operators.fixpoint import reach, shortest_paths, top_k
-from supplygraph.session import Scratch
+from supplygraph.operators.fixpoint import reach, rounds, shortest_paths, top_k
+from supplygraph.session import GrowingTable, Scratch
 
 
 def exact_lookup(versions: DataFrame, pv: str) -> DataFrame:
@@ -117,7 +117,7 @@ def paths_many(subjects: DataFrame, up: DataFrame, services: DataFrame, scratch:
     )
 
 
-def exposure_paths(vulnerable: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int = 32) -> DataFrame:
+def exposure_paths(vulnerable: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
     """One shortest path from each vulnerable node to everything above it."""
     back = depends_on.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seeds = vulnerable.select("pv", F.col("pv").alias("node"), F.array("pv").alias("path"))
@@ -126,25 +126,22 @@ def exposure_paths(vulnerable: DataFrame, depends_on: DataFrame, scratch: Scratc
     return walked.filter("depth > 0")
 
 
-def reach_with_path(seeds: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int) -> DataFrame:
+def reach_with_path(seeds: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
     """Breadth-first reach keeping the least of the shortest paths."""
-    from supplygraph.operators.fixpoint import partitioned
-    from supplygraph.session import GrowingTable
-
     seen = GrowingTable(scratch, "walk")
     frontier, _ = seen.append(seeds.select("pv", "node", F.lit(0).alias("depth"), "path"))
-    with partitioned(edges.select("src", "dst"), "src") as spread:
-        for depth in range(1, max_depth + 1):
-            step = (
-                frontier.withColumnRenamed("node", "src").join(spread, "src")
-                .select("pv", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-                .groupBy("pv", "node").agg(F.min("path").alias("path"))
-                .join(seen.read().select("pv", "node"), ["pv", "node"], "left_anti")
-                .select("pv", "node", F.lit(depth).alias("depth"), "path")
-            )
-            frontier, n = seen.append(step)
-            if n == 0:
-                break
+    edges = scratch.save(edges.select("src", "dst"), "edges")
+    for depth in rounds(1, max_depth):
+        step = (
+            frontier.withColumnRenamed("node", "src").join(edges, "src")
+            .select("pv", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+            .groupBy("pv", "node").agg(F.min("path").alias("path"))
+            .join(seen.read().select("pv", "node"), ["pv", "node"], "left_anti")
+            .select("pv", "node", F.lit(depth).alias("depth"), "path")
+        )
+        frontier, n = seen.append(step)
+        if n == 0:
+            break
     return seen.read()
 
 
@@ -290,19 +287,17 @@ def call_depth(functions: DataFrame, calls: DataFrame, scratch: Scratch, cap: in
     Round ``d`` holds the functions that end a walk of exactly ``d`` calls, so
     the last round a function appears in is its depth.
     """
-    from supplygraph.operators.fixpoint import partitioned
-
     called = calls.select(F.col("dst").alias("fn")).distinct()
     level = scratch.save(functions.select("fn").distinct().join(called, "fn", "left_anti").withColumn("depth", F.lit(0)), "level0")
     levels = [level]
-    with partitioned(calls.select(F.col("src").alias("fn"), "dst"), "fn") as spread:
-        for depth in range(1, cap + 1):
-            level, n = scratch.save_counted(
-                level.join(spread, "fn").select(F.col("dst").alias("fn"), F.lit(depth).alias("depth")).distinct(), f"level{depth}"
-            )
-            if n == 0:
-                break
-            levels.append(level)
+    edges = scratch.save(calls.select(F.col("src").alias("fn"), "dst"), "calls")
+    for depth in range(1, cap + 1):
+        level, n = scratch.save_counted(
+            level.join(edges, "fn").select(F.col("dst").alias("fn"), F.lit(depth).alias("depth")).distinct(), f"level{depth}"
+        )
+        if n == 0:
+            break
+        levels.append(level)
     rows = levels[0]
     for more in levels[1:]:
         rows = rows.unionByName(more)

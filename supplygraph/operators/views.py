@@ -365,7 +365,7 @@ def attack_frontier(fleet, subjects: DataFrame) -> DataFrame:
     ).drop("h").orderBy(F.desc("impact_measured"), F.desc("n_services"), F.desc("n_routes"), "name")
 
 
-def incident_dossier(fleet, related: int = 40) -> DataFrame:
+def incident_dossier(fleet) -> DataFrame:
     """Per incident, the size of every part of the answer."""
     subjects = fleet.incident.select("pv", "name").distinct()
     wide = G.blast_radius(fleet, subjects, fleet.spark.createDataFrame([], "candidate string, target string"))
@@ -375,7 +375,7 @@ def incident_dossier(fleet, related: int = 40) -> DataFrame:
         hot, "pv", "left"
     ).select(
         "incident_id", "n_projects", G.zero("range_only"), "n_live", "n_advisories",
-        F.least(F.col("n_shared_maintainer"), F.lit(related)).alias("n_shared_shown"), G.zero("n_hot"),
+        "n_shared_maintainer", G.zero("n_hot"),
     )
 
 

@@ -516,7 +516,7 @@ def _(fleet):
 
 @query("view_incident_dossier", _WIDE_SQL + """, claim AS (SELECT pv AS node, pv AS source, b, 0 AS hops FROM worst JOIN base USING (severity) UNION SELECT e.dst, c.source, c.b, c.hops + 1 FROM claim c JOIN heat_edge e ON e.src = c.node WHERE c.hops < 6 AND c.b - 0.14 * (c.hops + 1) >= 0.05),
 top AS (SELECT node, arg_max(source, (round(b - 0.14 * hops, 4), -hops, CASE b WHEN 0.45 THEN 'low' WHEN 0.55 THEN 'unknown' WHEN 0.65 THEN 'moderate' WHEN 0.85 THEN 'high' ELSE 'critical' END, source)) AS source, arg_max(hops, (round(b - 0.14 * hops, 4), -hops)) AS hops FROM claim GROUP BY node)
-SELECT incident_id, n_projects, (SELECT count(DISTINCT src) FROM satisfied_by s WHERE s.dst = w.pv) AS range_only, n_live, n_advisories, least(n_shared_maintainer, 40) AS n_shared_shown, (SELECT count(*) FROM top WHERE source = w.pv AND hops > 0) AS n_hot FROM wide w""")
+SELECT incident_id, n_projects, (SELECT count(DISTINCT src) FROM satisfied_by s WHERE s.dst = w.pv) AS range_only, n_live, n_advisories, n_shared_maintainer, (SELECT count(*) FROM top WHERE source = w.pv AND hops > 0) AS n_hot FROM wide w""")
 def _(fleet):
     return W.incident_dossier(fleet)
 

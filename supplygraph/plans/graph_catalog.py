@@ -537,16 +537,16 @@ def _(fleet):
     return R.import_reach(fleet.bridge, fleet.depends_on, fleet.scratch)
 
 
-_CODE_SQL = """, im AS (SELECT r.* FROM import_reach r JOIN (SELECT DISTINCT pv FROM affects WHERE pk % 4 = 0) a ON a.pv = r.pv), us AS (SELECT * FROM im JOIN calls_external USING (service, specifier)),
+_CODE_SQL = """, im AS (SELECT r.* FROM import_reach r JOIN (SELECT DISTINCT pv FROM affects) a ON a.pv = r.pv), us AS (SELECT * FROM im JOIN calls_external USING (service, specifier)),
 cl AS (SELECT DISTINCT pv, fn AS node, 0 AS depth FROM us UNION SELECT c.pv, k.src, c.depth + 1 FROM cl c JOIN calls k ON k.dst = c.node WHERE c.depth < 2),
 near AS (SELECT pv, node, min(depth) AS depth FROM cl GROUP BY pv, node) """
 
 
 def reach_of(fleet):
-    return R.code_reach(path_subjects(fleet), fleet.import_reach, fleet.calls_external, fleet.calls, fleet.scratch)
+    return R.code_reach(fleet.affects.select("pv").distinct(), fleet.import_reach, fleet.calls_external, fleet.calls, fleet.scratch)
 
 
-@query("q_code_reach", _CODE_SQL + """SELECT DISTINCT pv, 'version' AS layer, pv AS node, 0 AS distance FROM affects WHERE pk % 4 = 0
+@query("q_code_reach", _CODE_SQL + """SELECT DISTINCT pv, 'version' AS layer, pv AS node, 0 AS distance FROM affects
 UNION SELECT pv, 'import', 'import:' || service || ':' || specifier, CAST(hops AS INT) FROM im UNION SELECT pv, CASE depth WHEN 0 THEN 'function' ELSE 'caller' END, 'fn:' || node, CAST(depth AS INT) FROM near""")
 def _(fleet):
     return reach_of(fleet)[0]

@@ -52,7 +52,6 @@ SERVICE_USERS = ["github actions", "gitlab ci"]
 # --- fixed values: folders -----------------------------------------------------
 WATCHED_DIRS = [".claude", ".vscode", ".github/workflows", ".husky"]
 ALWAYS_IGNORED = ["node_modules", ".git"]
-MAX_READ_BYTES = 512000
 
 # --- input schemas (Spark DDL) -------------------------------------------------
 _DEPS = "MAP<STRING,STRING>"

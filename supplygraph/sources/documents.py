@@ -178,7 +178,7 @@ def packument_versions(docs: DataFrame) -> DataFrame:
         F.coalesce("v.hasInstallScript", F.lit(False)).alias("has_install_script"),
         (F.coalesce("v.deprecated", F.lit("")).isin("", "false") == F.lit(False)).alias("deprecated"),
         only(N.licence(F.col("v.license"))).alias("license"),
-        only(F.substring(F.col("v.description"), 1, 160)).alias("description"),
+        only(F.col("v.description")).alias("description"),
         only(_repo_text(F.col("v.repository"))).alias("repository"),
         only(F.col("v._npmUser.name")).alias("publisher"), only(F.col("v._npmUser.email")).alias("publisher_email"),
         F.when(F.col("full"), N.epoch_seconds(F.col("time")[F.col("version")])).otherwise(0).cast("bigint").alias("published_at"),
@@ -358,8 +358,8 @@ def code_facts(texts: DataFrame, text: str) -> dict[str, DataFrame]:
 
 
 def repo_files(files: DataFrame) -> DataFrame:
-    """The part of each file a scan looks at."""
-    return files.withColumn("content", F.substring("content", 1, S.MAX_READ_BYTES))
+    """The files a scan looks at, whole."""
+    return files.withColumn("content", F.col("content").cast("binary"))
 
 
 def change_pages(texts: DataFrame, text: str) -> DataFrame:

@@ -58,16 +58,19 @@ def merge_edges(existing: DataFrame, staged: DataFrame, order: str) -> DataFrame
 def write_table(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
     """Replaces the touched partitions only; a table without partitions whole.
 
-    The rows must not come from ``path`` itself: write a merge to a new folder.
+    Rows that come from ``path`` itself are refused: they would be lost while
+    they are read. Write such a merge to a new folder.
     """
+    if any(f.split(":", 1)[-1].lstrip("/").startswith(path.split(":", 1)[-1].strip("/") + "/") for f in df.inputFiles()):
+        raise ValueError(f"the rows to write are read from {path}")
     writer = df.write.mode("overwrite")
     if partition:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition)
     writer.parquet(path)
 
 
-def advisory_documents(findings: DataFrame, ecosystem: str, refs: int = 5) -> DataFrame:
-    """One document per (advisory, package): versions, fixes, aliases, few links.
+def advisory_documents(findings: DataFrame, ecosystem: str) -> DataFrame:
+    """One document per (advisory, package): versions, fixes, aliases, links.
 
     ``findings``: osv_id, package, version, ecosystem, fixed_version, aliases
     and references (arrays), severity_label, published.
@@ -79,7 +82,7 @@ def advisory_documents(findings: DataFrame, ecosystem: str, refs: int = 5) -> Da
         F.sort_array(F.collect_set("version")).alias("affected_versions"),
         F.sort_array(F.collect_set(F.nullif("fixed_version", F.lit("")))).alias("fixed_versions"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"),
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set("references")))), 1, refs).alias("references"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("references")))).alias("references"),
         F.max("severity_label").alias("severity"), F.max("published").alias("published_at"),
     )
 

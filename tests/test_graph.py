@@ -176,3 +176,30 @@ def test_clean_advisory_matches_nothing(spark):
     versions = spark.createDataFrame([("pkg:npm/a@1.0.0", 1, "a", "1.0.0", 5)], "pv string, pk int, name string, version string, published_at long")
     advisory = spark.createDataFrame([("X", 1, "a", ">=9.0.0", "9.9.9", "low", 1)], "advisory_id string, pk int, name string, affected_range string, fixed_version string, severity string, published long")
     assert A.attach_advisories(advisory, versions.drop("name")).count() == 0
+
+
+def test_long_chains_lose_nothing(spark, scratch):
+    n = 66
+    chain = spark.createDataFrame([("L", f"v{i:03d}", f"v{i + 1:03d}") for i in range(n)], "lock_id string, src string, dst string")
+    roots = spark.createDataFrame([("L", "svc", 1, "v000", False)], "lock_id string, service string, observed_at long, pv string, dev boolean")
+    closed = B.closure(roots, chain, scratch)
+    assert closed.count() == n + 1 and closed.agg({"depth": "max"}).first()[0] == n + 1
+    m = 34
+    up = R.exposure_paths(spark.createDataFrame([(f"v{m:03d}",)], "pv string"), chain.select("src", "dst"), scratch)
+    assert up.count() == m and up.agg({"depth": "max"}).first()[0] == m
+
+
+def test_components_of_a_long_path_converge(spark, scratch):
+    rng = random.Random(2)
+    order = list(range(2_000))
+    rng.shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {r.root for r in components(links, scratch).collect()} == {0}
+
+
+def test_a_hot_node_is_not_pinned_to_one_partition(spark, scratch):
+    """The edges of a reach loop are joined as a written table: neither cached nor dealt out by key."""
+    edges = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hub' ELSE concat('n', id) END AS src", "concat('m', id) AS dst")
+    seeds = spark.createDataFrame([("hub", "hub")], "pv string, node string")
+    assert reach(seeds, edges, ["pv"], scratch).count() == 1_001
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
