@@ -1,13 +1,14 @@
 """Substring dedup: words covered by a repeated window are removed, by prefix-partitioned suffix trees.
 
 A window is ``WINDOW`` consecutive words of a document; it is repeated if its
-words also start anywhere else. Equal windows hold the same least ``GRAM``-word
-gram (by hash, the leftmost of equal ones), their anchor, so that
-
-1. every document gives its anchors, about one in fourteen words;
-2. anchors found once are dropped (a count with partial aggregation and a join);
-3. the stretch of words around each remaining anchor goes to the group of its
-   anchor: the prefix that partitions the suffixes;
+words also start anywhere else. Equal windows have the same least hash of a
+``GRAM``-word gram, their anchor; windows that follow each other and share it
+form one stretch, so that
+
+1. every document gives its anchors, about one in fifteen words;
+2. anchors of one window are dropped (a count with partial aggregation, a join);
+3. the stretch of words of each remaining anchor goes to the group of its anchor:
+   the prefix that partitions the suffixes;
 4. a group builds its subtree top down, a few words of depth at a time, over the
    suffixes at all window starts of its stretches; leaves that branch off above
    the window's depth are done, and the deep internal nodes are the repeats.
@@ -42,7 +43,7 @@ from supplygraph.llm.pretoken import gather
 from supplygraph.session import Scratch
 
 WINDOW = 35
-GRAM = 8
+GRAM = 6
 #: Words of depth that a level of a subtree adds; divides the window.
 STEP = 7
 #: Stretches that a subtree is built over at most, about.
@@ -54,27 +55,27 @@ STRETCH_DDL = f"anchor long, salt int, parts int, {C.KEY_DDL}, low int, words bi
 
 
 def anchors(hashes: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, anchor place, first and last start of the windows that share it; places are words of the slice."""
+    """Of each stretch: its anchor, 2 if the anchor's gram stands in it twice or more and else 1, its first and last window start."""
     n = len(hashes) - WINDOW + 1
     none = np.empty(0, np.int64)
     if n <= 0:
         return np.empty(0, np.uint64), none, none, none
     grams = C.gram_hashes(hashes, GRAM)
     starts = np.flatnonzero(row_of[:n] == row_of[WINDOW - 1:])
-    width = WINDOW - GRAM + 1
+    if not len(starts):
+        return np.empty(0, np.uint64), none, none, none
     at = np.arange(n, dtype=np.int64)
     least, place = grams[:n].copy(), at.copy()
-    for k in range(1, width):  # leftmost least gram of every window
+    for k in range(1, WINDOW - GRAM + 1):  # leftmost least gram of every window
         better = grams[k: k + n] < least
         least[better] = grams[k: k + n][better]
         place[better] = at[better] + k
-    place = place[starts]
-    if not len(place):
-        return np.empty(0, np.uint64), none, none, none
-    new = np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    least, place = least[starts], place[starts]
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)))
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place)) - 1
-    return grams[place[first]], place[first], starts[first], starts[last]
+    last = np.append(first[1:], len(least)) - 1
+    # windows of one stretch that are equal have their gram at different places
+    return least[first], 1 + (place[first] != place[last]), starts[first], starts[last]
 
 
 def _key_columns(batch: pa.RecordBatch, rows: np.ndarray) -> dict[str, pa.Array]:
@@ -86,8 +87,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (s for whole in batches for s in C.slices([whole])):
         words = C.Words(batch.column("text"))
         row_of = words.rows()
-        found, place, _, _ = anchors(words.hashes(), row_of)
-        yield pa.RecordBatch.from_pydict({"anchor": pa.array(found.view(np.int64)), **_key_columns(batch, row_of[place])})
+        found, times, low, _ = anchors(words.hashes(), row_of)
+        yield pa.RecordBatch.from_pydict({"anchor": pa.array(found.view(np.int64)), "key_text": batch.column("key_text").take(pa.array(row_of[low])), "times": pa.array(times, pa.int64())})
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], group_max: int) -> Iterator[pa.RecordBatch]:
@@ -95,7 +96,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], group_max: int) -> Iterator[pa
     for batch in (s for whole in batches for s in C.slices([whole])):
         words = C.Words(batch.column("text"))
         row_of = words.rows()
-        found, place, low, high = anchors(words.hashes(), row_of)
+        found, _, low, high = anchors(words.hashes(), row_of)
         shared = batch.column("shared")
         entries = shared.flatten()
         owner = np.repeat(np.arange(len(shared)), np.diff(shared.offsets.to_numpy()))
@@ -103,7 +104,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], group_max: int) -> Iterator[pa
         count = entries.field("n").to_numpy()
         order = np.argsort(known)
         known, count = known[order], count[order]
-        rows = row_of[place]
+        rows = row_of[low]
         wanted = C.mixed(found + C.mixed(rows.astype(np.uint64)))
         at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
         keep = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
@@ -201,10 +202,11 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, scratch: Scratch, group_max: int = GROUP_MAX) -> DataFrame:
     """``KEY, low, high``: runs of starts of repeated windows, by document."""
     keyed = C.keyed(docs)
-    given = scratch.save(keyed.select(*C.KEY, "text").mapInArrow(_anchors, f"anchor long, {C.KEY_DDL}"), "anchors")
-    shared = given.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    by_doc = given.join(shared, "anchor").groupBy(*C.KEY).agg(F.collect_list(F.struct("anchor", "n")).alias("shared"))
-    stretches = keyed.select(*C.KEY, "text").join(by_doc, C.KEY).mapInArrow(lambda batches: _stretches(batches, group_max), STRETCH_DDL)
+    given = keyed.select("key_text", "text").mapInArrow(_anchors, "anchor long, key_text long, times long")
+    shared = scratch.save(given.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1"), "shared")
+    # by text, not by row: copies of a text have the same anchors
+    by_text = given.select("anchor", "key_text").join(shared, "anchor").groupBy("key_text").agg(F.collect_set(F.struct("anchor", "n")).alias("shared"))
+    stretches = keyed.select(*C.KEY, "text").join(by_text, "key_text").mapInArrow(lambda batches: _stretches(batches, group_max), STRETCH_DDL)
     grouped = stretches.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = scratch.save(grouped.mapInArrow(_forests, FOUND_DDL), "found")
     paths = found.where("path1 is not null")
