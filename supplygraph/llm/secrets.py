@@ -10,11 +10,11 @@ one of ordinary identifiers, by more than ``MARGIN`` per pair of neighbours. Bot
 are first-order models over character classes (a-z, A-Z and digits one by one,
 other characters together). They are trained on strings whose label is known,
 from every document that has a base span: what the base spans hold is random,
-the words of letters around them are ordinary. Pairs are counted by one partial
+the words and numbers around them are ordinary. Pairs are counted by one partial
 aggregation; the counts, at most 2 x 63 x 63 rows whatever the input, make one
 constant array of log-likelihood ratios. The random model is drawn towards equal
 chances by ``RANDOM_PRIOR`` so that other random alphabets than the sample's fit
-it too.
+it too, the ordinary one by ``ORDINARY_PRIOR`` towards its characters' shares.
 
 Defined results: a null or empty text has no spans and the hash of the empty
 list; equal rows each get a row; a text without candidates is not scored; if a
@@ -40,9 +40,9 @@ LEAST_VALUE = 6
 #: What the models judge, and by how much the log-likelihoods per character must differ.
 CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
 MARGIN = 0.6
-RANDOM_PRIOR, ORDINARY_PRIOR = 200.0, 0.5
+RANDOM_PRIOR, ORDINARY_PRIOR = 200.0, 20.0
 #: Ordinary strings of the training sample.
-ORDINARY = "[A-Za-z][A-Za-z_-]{7,}"
+ORDINARY = "[A-Za-z0-9][A-Za-z0-9_-]{7,}"
 #: Character classes by their place; everything else is the last class.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 CLASSES = len(SYMBOLS) + 1
@@ -92,13 +92,15 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 def ratios(counts: DataFrame) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of each pair; the counts are at most 2 x CLASSES x CLASSES rows."""
-    tables = {True: [RANDOM_PRIOR] * CLASSES**2, False: [ORDINARY_PRIOR] * CLASSES**2}
+    tables = {kind: [[0.0] * CLASSES for _ in range(CLASSES)] for kind in (True, False)}
     for row in counts.collect():
-        tables[row.random][row.pair] += row.n
+        tables[row.random][row.pair // CLASSES][row.pair % CLASSES] = float(row.n)
+    seen = [1.0 + sum(line[k] for line in tables[False]) for k in range(CLASSES)]
+    priors = {True: [RANDOM_PRIOR] * CLASSES, False: [ORDINARY_PRIOR * n / sum(seen) for n in seen]}
     shares = {}
     for kind, table in tables.items():
-        totals = [sum(table[k * CLASSES: (k + 1) * CLASSES]) for k in range(CLASSES)]
-        shares[kind] = [math.log(n / totals[i // CLASSES]) for i, n in enumerate(table)]
+        prior = priors[kind]
+        shares[kind] = [math.log((n + p) / (sum(line) + sum(prior))) for line in table for n, p in zip(line, prior, strict=True)]
     return [a - b for a, b in zip(shares[True], shares[False], strict=True)]
 
 
