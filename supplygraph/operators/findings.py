@@ -361,6 +361,15 @@ def verdict(fleet) -> DataFrame:
     return t.join(fixes, "pv", "left").select("pv", "severity", "n_advisories", zero("n_fixes"), "n_services", headline.alias("headline"))
 
 
+def verdict_items(fleet) -> DataFrame:
+    """What a verdict names, one row an item: advisories, fixed versions, services."""
+    flagged = fleet.threat.filter("kind <> 'deprecated'").select("pv")
+    item = lambda df, kind, col: df.filter(F.col(col).isNotNull()).select("pv", F.lit(kind).alias("kind"), F.col(col).alias("item"))
+    advised = fleet.affects.join(flagged, "pv", "left_semi")
+    held = fleet.resolved_in.join(flagged, "pv", "left_semi")
+    return item(advised, "advisory", "advisory_id").unionByName(item(advised, "fix", "fixed_version")).unionByName(item(held, "service", "service")).distinct()
+
+
 def fleet_overview(fleet) -> DataFrame:
     """Per service: what it holds and what is wrong with it."""
     held = fleet.resolved_in.join(fleet.package_version.select("pv", "name"), "pv").join(
@@ -372,9 +381,8 @@ def fleet_overview(fleet) -> DataFrame:
         F.count_if(F.col("depth") == S.DIRECT_DEPTH).alias("n_direct"),
         F.count("kind").alias("n_threats"),
         F.count_if("in_code").alias("n_reaching"),
-        F.count_if(F.col("severity") == "critical").alias("n_critical"),
-        F.count_if(F.col("severity") == "high").alias("n_high"),
-        F.count_if(F.col("kind") == "compromised").alias("n_compromised"),
+        *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "high", "moderate", "low", "unknown")],
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("compromised", "vulnerable", "deprecated")],
     )
 
 

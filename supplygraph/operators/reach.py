@@ -74,9 +74,7 @@ def shared_identity(links: DataFrame, subjects: DataFrame, identity: str, member
 
 
 def imitators(squats: DataFrame, subjects: DataFrame) -> DataFrame:
-    return squats.join(subjects.select(F.col("name").alias("target")).distinct(), "target", "left_semi").orderBy(
-        "target", "distance", "candidate"
-    )
+    return squats.join(subjects.select(F.col("name").alias("target")).distinct(), "target", "left_semi")
 
 
 def incidents_for(versions: DataFrame, incident: DataFrame) -> DataFrame:
@@ -179,9 +177,7 @@ def persistence(artifacts: DataFrame) -> DataFrame:
     kind_rank = F.when(F.col("kind") == "ioc-content", 0).when(F.col("kind") == "ioc-path", 1).when(
         F.col("kind") == "watched-dir", 2
     ).otherwise(3)
-    return artifacts.withColumn("watched_dir", watched_dir(F.col("path"))).withColumn("kind_rank", kind_rank).orderBy(
-        "kind_rank", F.desc("first_seen"), "path"
-    )
+    return artifacts.withColumn("watched_dir", watched_dir(F.col("path"))).withColumn("kind_rank", kind_rank)
 
 
 def import_reach(bridge: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int = S.MAX_IMPORT_DEPTH) -> DataFrame:

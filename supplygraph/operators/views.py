@@ -235,13 +235,13 @@ def threat_detail(fleet) -> DataFrame:
     """One row per (threat, advisory) with texts and fixes."""
     return fleet.threat.select("pv", "kind", F.col("severity").alias("threat_severity")).join(
         fleet.affects.select("pv", "advisory_id", "severity", "fixed_version", "introduced_version"), "pv", "left"
-    )
+    ).join(fleet.advisory.select("advisory_id", "summary"), "advisory_id", "left")
 
 
 def impacted_services(fleet, subjects: DataFrame) -> DataFrame:
     return R.exposed(subjects, fleet.resolved_in).select(
         "pv", "service", (F.col("depth") == 1).alias("direct"), (~F.col("dev_only")).alias("production"), "depth"
-    ).orderBy("pv", F.desc("direct"), "service")
+    )
 
 
 def remediation(fleet) -> DataFrame:
@@ -292,7 +292,7 @@ def dependency_path(paths: DataFrame, per_spec: int = 6) -> DataFrame:
 
 def services(fleet) -> DataFrame:
     held = fleet.resolved_in.groupBy("service").agg(F.count("*").alias("n_packages"))
-    return fleet.workspace.join(held, "service", "left").select("service", "workspace", G.zero("n_packages")).orderBy("service")
+    return fleet.workspace.join(held, "service", "left").select("service", "workspace", G.zero("n_packages"))
 
 
 def service_profile(fleet, service: str, limit: int = 20) -> DataFrame:
@@ -303,8 +303,8 @@ def service_profile(fleet, service: str, limit: int = 20) -> DataFrame:
 
 
 def search_advisories(fleet, query: str) -> DataFrame:
-    """Substring search over id, package and aliases of advisories that hit a held version."""
-    text = F.lower(F.concat_ws(" ", "advisory_id", "name", "severity", "alias"))
+    """Substring search over id, package, summary and aliases of advisories that hit a held version."""
+    text = F.lower(F.concat_ws("\n", "advisory_id", "name", "summary", "alias"))
     rows = fleet.advisory.join(fleet.advisory_alias, "advisory_id", "left")
     held = fleet.affects.select("advisory_id").distinct()
     return rows.filter(text.contains(query.strip().lower())).join(held, "advisory_id", "left_semi").select(
@@ -355,14 +355,14 @@ def publish_anomalies(signals: DataFrame, held: DataFrame) -> DataFrame:
     order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SIGNAL_ORDER]), F.col("signal")), F.lit(99))
     return signals.join(held.select("package").distinct(), "package", "left_semi").withColumn(
         "signal_rank", order.cast("bigint")
-    ).orderBy("signal_rank", "package", "version")
+    )
 
 
 def attack_frontier(fleet, subjects: DataFrame) -> DataFrame:
     held = fleet.resolved_in.join(fleet.package_version.select("pv", "name"), "pv").select("name").distinct()
     return G.frontier(fleet, subjects).join(held.withColumn("h", F.lit(True)), "name", "left").withColumn(
         "already_used_here", F.coalesce("h", F.lit(False))
-    ).drop("h").orderBy(F.desc("impact_measured"), F.desc("n_services"), F.desc("n_routes"), "name")
+    ).drop("h")
 
 
 def incident_dossier(fleet) -> DataFrame:

@@ -139,6 +139,7 @@ class Fleet:
                 F.concat(F.lit("<"), n, F.lit(".0.0")).alias("affected_range"),
                 F.concat(n, F.lit(".0.0")).alias("fixed_version"),
                 severity.alias("severity"),
+                F.concat(F.lit("Flaw of "), "p_brand", F.lit(": "), F.initcap("p_type"), F.lit(" request exhausts memory")).alias("summary"),
                 (F.lit(ADVISORY_EPOCH) + F.col("p_partkey") * 3600).cast("bigint").alias("published"),
             ),
             "advisory",

@@ -145,8 +145,17 @@ def _(fleet):
     return G.verdict(fleet)
 
 
+@query("agg_verdict_items", """, f AS (SELECT pv FROM threat WHERE kind <> 'deprecated')
+SELECT pv, 'advisory' AS kind, advisory_id AS item FROM affects JOIN f USING (pv) UNION SELECT pv, 'fix', fixed_version FROM affects JOIN f USING (pv) WHERE fixed_version IS NOT NULL
+UNION SELECT pv, 'service', service FROM resolved_in JOIN f USING (pv)""")
+def _(fleet):
+    return G.verdict_items(fleet)
+
+
 @query("agg_fleet_overview", """SELECT service, count(*) AS n_versions, count(DISTINCT v.name) AS n_packages, count(*) FILTER (depth = 1) AS n_direct, count(t.kind) AS n_threats, count(*) FILTER (t.in_code) AS n_reaching,
-count(*) FILTER (t.severity = 'critical') AS n_critical, count(*) FILTER (t.severity = 'high') AS n_high, count(*) FILTER (t.kind = 'compromised') AS n_compromised
+count(*) FILTER (t.severity = 'critical') AS n_critical, count(*) FILTER (t.severity = 'high') AS n_high, count(*) FILTER (t.severity = 'moderate') AS n_moderate,
+count(*) FILTER (t.severity = 'low') AS n_low, count(*) FILTER (t.severity = 'unknown') AS n_unknown, count(*) FILTER (t.kind = 'compromised') AS n_compromised,
+count(*) FILTER (t.kind = 'vulnerable') AS n_vulnerable, count(*) FILTER (t.kind = 'deprecated') AS n_deprecated
 FROM resolved_in r JOIN package_version v ON v.pv = r.pv LEFT JOIN threat t ON t.pv = r.pv GROUP BY service""")
 def _(fleet):
     return G.fleet_overview(fleet)
@@ -438,7 +447,7 @@ def _(fleet):
     return W.resolve_package(fleet, " Red-Widget-1 ")
 
 
-@query("view_threat_detail", "SELECT t.pv, t.kind, t.severity AS threat_severity, a.advisory_id, a.severity, a.fixed_version, a.introduced_version FROM threat t LEFT JOIN affects a ON a.pv = t.pv")
+@query("view_threat_detail", "SELECT t.pv, t.kind, t.severity AS threat_severity, a.advisory_id, a.severity, a.fixed_version, a.introduced_version, d.summary FROM threat t LEFT JOIN affects a ON a.pv = t.pv LEFT JOIN advisory d ON d.advisory_id = a.advisory_id")
 def _(fleet):
     return W.threat_detail(fleet)
 
@@ -485,9 +494,16 @@ def _(fleet):
     return W.service_profile(fleet, "NATION_3")
 
 
-@query("view_search_advisories", "SELECT advisory_id, name, severity, fixed_version FROM advisory WHERE (contains(name, 'ring') OR contains(lower(advisory_id), 'ring')) AND advisory_id IN (SELECT advisory_id FROM affects)")
+@query("view_search_advisories", """SELECT advisory_id, name, severity, fixed_version FROM advisory JOIN advisory_alias USING (advisory_id)
+WHERE (contains(lower(summary), 'mall r') OR contains(name, 'mall r') OR contains(lower(advisory_id), 'mall r') OR contains(lower(alias), 'mall r')) AND advisory_id IN (SELECT advisory_id FROM affects)""")
+def _(fleet):
+    return W.search_advisories(fleet, " Mall R ")
+
+
+@query("view_search_advisories_by_alias", """SELECT advisory_id, name, severity, fixed_version FROM advisory JOIN advisory_alias USING (advisory_id)
+WHERE contains(lower(summary || ' ' || name || ' ' || advisory_id || ' ' || alias), 'ghsa-1') AND advisory_id IN (SELECT advisory_id FROM affects)""")
 def _(fleet):
-    return W.search_advisories(fleet, "Ring")
+    return W.search_advisories(fleet, "ghsa-1")
 
 
 # -- provenance and publishing ---------------------------------------------------------------------------

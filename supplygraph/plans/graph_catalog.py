@@ -411,7 +411,7 @@ def _(fleet):
 
 @query("q_exposed_projects", "SELECT r.pv, service, CAST(depth AS INT) AS depth, via_direct, dev_only, first_seen FROM resolved_in r JOIN (SELECT DISTINCT pv FROM affects) a ON a.pv = r.pv")
 def _(fleet):
-    return R.exposed(fleet.affects, fleet.resolved_in).select("pv", "service", "depth", "via_direct", "dev_only", "first_seen").orderBy("pv", "depth", "service")
+    return R.exposed(fleet.affects, fleet.resolved_in).select("pv", "service", "depth", "via_direct", "dev_only", "first_seen")
 
 
 @query("q_exposed_services", "SELECT service, count(DISTINCT r.pv) AS n_versions, CAST(min(depth) AS INT) AS min_depth FROM resolved_in r JOIN (SELECT DISTINCT pv FROM affects) a ON a.pv = r.pv GROUP BY service")

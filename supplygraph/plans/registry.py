@@ -33,6 +33,7 @@ requires AS (SELECT DISTINCT e.src, b.pk AS dst_pk, b.name AS dst_name, b.major
 advisory AS (SELECT 'CVE-2024-' || p_partkey AS advisory_id, p_partkey AS pk, replace(p_name, ' ', '-') || '-' || p_partkey AS name, 2 + p_size % 4 AS n,
   '<' || (2 + p_size % 4) || '.0.0' AS affected_range, (2 + p_size % 4) || '.0.0' AS fixed_version,
   CASE p_type WHEN 'ECONOMY' THEN 'critical' WHEN 'SMALL' THEN 'high' WHEN 'STANDARD' THEN 'moderate' WHEN 'LARGE' THEN 'low' ELSE 'unknown' END AS severity,
+  'Flaw of ' || p_brand || ': ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' request exhausts memory' AS summary,
   1704067200 + p_partkey * 3600 AS published FROM part WHERE p_size <= 5),
 advisory_alias AS (SELECT advisory_id, 'GHSA-' || (pk % 50) AS alias FROM advisory),
 affects AS (SELECT a.advisory_id, v.pv, a.pk, a.name, v.version, a.severity, a.published, a.fixed_version, '0' AS introduced_version, coalesce(f.published_at, 0) AS fixed_published_at
