@@ -553,10 +553,14 @@ def _(fleet):
     return W.ungrounded(texts, "lock_id", "text", W.known_specs(fleet, fleet.publish_event))
 
 
-@query("view_grounding_audit_documents", _KNOWN_SQL + """, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(^|[^\\w@/-])(@?[a-z0-9][\\w.-]*(?:/[\\w.-]+)?@\\d[\\w.-]*)', 2)) AS s FROM documents)
+@query("view_grounding_audit_documents", _KNOWN_SQL + """, said AS (SELECT doc_id, text || ' Upgrade ' || name || '@' || CASE WHEN doc_id % 3 = 0 THEN '7.7.7' ELSE '1.0.0' END || '.' AS text FROM documents JOIN package ON pk = doc_id % 200 + 1),
+m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(^|[^\\w@/-])(@?[a-z0-9][\\w.-]*(?:/[\\w.-]+)?@\\d[\\w.-]*)', 2)) AS s FROM said)
 SELECT DISTINCT doc_id, lower(regexp_replace(s, '[.,;:)-]+$', '')) AS spec FROM m WHERE lower(regexp_replace(s, '[.,;:)-]+$', '')) NOT IN (SELECT spec FROM known)""")
 def _(fleet):
-    return W.ungrounded(fleet.table("documents"), "doc_id", "text", W.known_specs(fleet, fleet.publish_event))
+    named = fleet.table("documents").join(fleet.package.select("pk", "name"), F.col("pk") == F.col("doc_id") % 200 + 1)
+    version = F.when(F.col("doc_id") % 3 == 0, "7.7.7").otherwise("1.0.0")
+    said = named.select("doc_id", F.concat("text", F.lit(" Upgrade "), "name", F.lit("@"), version, F.lit(".")).alias("text"))
+    return W.ungrounded(said, "doc_id", "text", W.known_specs(fleet, fleet.publish_event))
 
 
 _WORDS_SQL = "regexp_split_to_array(regexp_replace(lower(trim(text)), '[^a-z]+', ' ', 'g'), ' ')"

@@ -204,9 +204,14 @@ def _(fleet):
 _COMPONENT_SQL = """, root AS (SELECT alias, min(advisory_id) AS canonical FROM advisory_alias GROUP BY alias) """
 
 
-@query("alias_components", _COMPONENT_SQL + "SELECT alias AS id, canonical FROM root UNION ALL SELECT advisory_id, canonical FROM advisory_alias JOIN root USING (alias)")
+@query("alias_components", """, far AS (SELECT advisory_id, alias, 'PYSEC-' || (CAST(substr(alias, 6) AS INT) % 10) AS far FROM advisory_alias),
+root AS (SELECT far, min(advisory_id) AS canonical FROM far GROUP BY far)
+SELECT advisory_id AS id, canonical FROM far JOIN root USING (far) UNION SELECT alias, canonical FROM far JOIN root USING (far) UNION SELECT far, canonical FROM root""")
 def _(fleet):
-    return A.alias_components(fleet.advisory_alias.withColumnRenamed("advisory_id", "osv_id"), fleet.scratch)
+    near = fleet.advisory_alias.select(F.col("advisory_id").alias("osv_id"), "alias")
+    # an alias that is itself listed under another name
+    far = near.select(F.col("alias").alias("osv_id"), F.concat(F.lit("PYSEC-"), (F.substr("alias", F.lit(6)).cast("int") % 10).cast("string")).alias("alias"))
+    return A.alias_components(near.unionByName(far.distinct()), fleet.scratch)
 
 
 def merged_findings(fleet):
@@ -232,6 +237,12 @@ def _(fleet):
     return A.merge_advisories(f, A.alias_components(f.select("osv_id", "alias"), fleet.scratch))
 
 
+@query("advisory_merge_ids", _COMPONENT_SQL + """SELECT canonical, alias FROM root UNION SELECT canonical, advisory_id FROM advisory_alias JOIN root USING (alias) WHERE advisory_id <> canonical""")
+def _(fleet):
+    f = merged_findings(fleet)
+    return A.advisory_ids(f, A.alias_components(f.select("osv_id", "alias"), fleet.scratch))
+
+
 @query("advisory_merge_targets", _COMPONENT_SQL + """SELECT canonical, 'npm' AS eco, name AS package, '1.0.0' AS version, CASE WHEN pk % 2 = 0 THEN fixed_version ELSE '' END AS fixed_version, '0' AS introduced_version
 FROM advisory JOIN advisory_alias USING (advisory_id) JOIN root USING (alias)""")
 def _(fleet):
