@@ -227,7 +227,7 @@ def merged_findings(fleet):
     )
 
 
-@query("advisory_merge", _COMPONENT_SQL + """, r AS (SELECT a.*, x.canonical, 'flaw ' || repeat('x', CAST(pk % 7 AS INT)) AS summary FROM advisory a JOIN advisory_alias USING (advisory_id) JOIN root x USING (alias))
+@query("advisory_merge", _COMPONENT_SQL + """, r AS (SELECT a.* EXCLUDE (summary), x.canonical, 'flaw ' || repeat('x', CAST(pk % 7 AS INT)) AS summary FROM advisory a JOIN advisory_alias USING (advisory_id) JOIN root x USING (alias))
 SELECT canonical, arg_max(summary, length(summary)) AS summary, '' AS details, coalesce(arg_min('CVSS:' || pk, pk) FILTER (pk % 3 = 0), '') AS cvss_vector,
 coalesce(CAST(arg_max(pk / 10.0, pk) FILTER (pk % 4 = 0) AS DOUBLE), -1) AS severity_score,
 coalesce(arg_max(severity, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) FILTER (severity <> 'unknown'), '') AS severity,
