@@ -14,10 +14,12 @@ Documents of equal multisets are one node. ``BANDS`` bands of ``ROWS`` component
 deal the nodes into buckets; at the threshold a pair misses all buckets with a
 probability of 2e-4. Pairs of a bucket are never all listed: first each member
 is verified against the bucket's least node, and the components of the verified
-pairs are classes; a bucket of one class is done. In the others only members of
-different classes are paired and verified, which completes the classes. Verified
-means that the exact overlap of the multisets, sum of least over sum of greatest
-counts, is at least ``SIMILARITY``.
+pairs are classes; a bucket of one class is done. In the others ``LEADERS`` more
+leaders are drawn, and the members of other classes are verified against them,
+which costs a pair a member and leader. What is left, members of one bucket in
+different classes, is paired and verified in full, which completes the classes.
+Verified means that the exact overlap of the multisets, sum of least over sum of
+greatest counts, is at least ``SIMILARITY``.
 
 Defined results: a document of fewer words than a shingle, but not none, has one
 shingle of all its words; a document without words, null texts too, is alone in
@@ -44,6 +46,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 8
 SIZE = BANDS * ROWS
+#: Leaders drawn before the members of different classes are paired in full.
+LEADERS = 4
 #: Points of a process that are made at once.
 BLOCK = 16
 NODE = ["b1", "b2"]
@@ -186,6 +190,15 @@ def as_links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.struct(F.col("a1").alias("b1"), F.col("a2").alias("b2")).alias("a"), F.struct(F.col("c1").alias("b1"), F.col("c2").alias("b2")).alias("b"))
 
 
+def unsettled(member: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``bucket, b1, b2, root`` of the buckets that hold more than one class of the links, and their number."""
+    node = F.struct(*NODE)
+    rooted = components(as_links(links), scratch).select(F.col("node.b1").alias("b1"), F.col("node.b2").alias("b2"), "root")
+    placed = scratch.save(member.select("bucket", *NODE).join(rooted, NODE, "left").select("bucket", *NODE, F.coalesce("root", node).alias("root")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return scratch.save_counted(placed.join(mixed, "bucket", "left_semi"), "unsettled")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``KEY, root1, root2, b1, b2``: the class of every document, null for those without words."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -204,15 +217,22 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     wanted = member.select(*NODE).distinct().join(nodes.select(*NODE, "place.*"), NODE)
     texts = scratch.save(keyed.join(wanted, C.KEY).groupBy(*NODE).agg(F.first("text").alias("text")), "texts")
     near = scratch.save(verified(star, texts, least), "near")
-    rooted = components(as_links(near), scratch).select(F.col("node.b1").alias("b1"), F.col("node.b2").alias("b2"), "root")
-    placed = scratch.save(member.select("bucket", *NODE).join(rooted, NODE, "left").select("bucket", *NODE, F.coalesce("root", node).alias("root")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = placed.join(mixed, "bucket", "left_semi")
-    one = left.select("bucket", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("root").alias("root_a"))
-    two = left.select("bucket", F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("root").alias("root_c"))
-    across = one.join(two, "bucket").where("root_a <> root_c and (a1 < c1 or a1 = c1 and a2 < c2)").select("a1", "a2", "c1", "c2").distinct()
-    more = scratch.save(verified(across.join(star, ["a1", "a2", "c1", "c2"], "left_anti"), texts, least), "more")
-    every = components(as_links(near.unionByName(more)), scratch).select(F.col("node.b1").alias("b1"), F.col("node.b2").alias("b2"), "root")
+    links, tried = near, star
+    for full in (False, True):
+        left, n = unsettled(member, links, scratch)
+        if not n:
+            break
+        two = left.select("bucket", F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("root").alias("root_c"))
+        drawn = [F.min_by(F.struct(*NODE, "root"), F.xxhash64(*NODE, F.lit(k))) for k in range(LEADERS)]
+        one = left if full else left.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("ls")).select("bucket", F.explode("ls").alias("l")).select("bucket", "l.*")
+        one = one.select("bucket", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("root").alias("root_a"))
+        ordered = F.expr("a1 < c1 or a1 = c1 and a2 < c2")
+        pairs = one.join(two, "bucket").where("root_a <> root_c" + (" and (a1 < c1 or a1 = c1 and a2 < c2)" if full else "")).select(
+            *[F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a1", "c1"), ("a2", "c2"), ("c1", "a1"), ("c2", "a2"))],
+        ).distinct()
+        pairs = scratch.save(pairs.join(tried, ["a1", "a2", "c1", "c2"], "left_anti"), "pairs")
+        links, tried = links.unionByName(scratch.save(verified(pairs, texts, least), "more")), tried.unionByName(pairs)
+    every = components(as_links(links), scratch).select(F.col("node.b1").alias("b1"), F.col("node.b2").alias("b2"), "root")
     # copies of a text share its node; a class is named by its least node
     rows = signed.select(*C.KEY, *NODE).join(every, NODE, "left")
     return rows.select(*C.KEY, *NODE, F.coalesce("root.b1", "b1").alias("root1"), F.coalesce("root.b2", "b2").alias("root2"))
