@@ -48,11 +48,16 @@ def keys(url: str | Column) -> Column:
     return F.when(name != "", F.array_distinct(F.concat(above, below)))
 
 
+def listed(entry: str) -> Column:
+    """An entry as ``keys`` writes it: the host in lower case without a trailing dot, the path as it is."""
+    return F.concat(F.rtrim(F.lower(F.regexp_extract(entry, "^[^/]*", 0)), F.lit(".")), F.regexp_extract(entry, "(?s)/.*", 0))
+
+
 def states(changes: DataFrame) -> DataFrame:
     """``list, entry, at, bin, added``: one row an entry and instant."""
     known = changes.where("list is not null and entry is not null and at is not null and action in ('add', 'remove')")
     return (
-        known.groupBy("list", F.lower("entry").alias("entry"), F.col("at").cast("long").alias("at"))
+        known.groupBy("list", listed("entry").alias("entry"), F.col("at").cast("long").alias("at"))
         .agg(F.max(F.col("action") == "add").alias("added"))
         .withColumn("bin", F.floor(F.col("at") / BIN_SECONDS))
     )

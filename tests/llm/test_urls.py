@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+
 from supplygraph.llm import urls
 
 DAY = 86_400
@@ -47,3 +49,22 @@ def test_all_columns_stay_and_empty_tables(spark):
     assert urls.keep_allowed(df, log).count() == 0
     assert urls.keep_allowed(df, log.limit(0)).collect() == df.collect()
     assert urls.judge(df.limit(0), log).count() == 0
+
+
+def test_paths_of_entries_are_compared_as_written(spark):
+    urls_ = ["https://a.com/Ads/x", "https://A.com./Ads", "https://a.com/ads/x", "https://b.org/P/Q", "https://b.org/P"]
+    df = spark.createDataFrame([(i, u, 10 * DAY) for i, u in enumerate(urls_)], "page_id long, url string, fetched_at long")
+    log = spark.createDataFrame([("l", e, DAY, "add") for e in ("A.com./Ads", "b.org/P/Q")], "list string, entry string, at long, action string")
+    assert {r.page_id: r.entries for r in urls.judge(df, log).collect()} == {0: "l:a.com/Ads", 1: "l:a.com/Ads", 2: "", 3: "l:b.org/P/Q", 4: ""}
+
+
+def test_derived_entries_with_capitals_match_sql(spark):
+    rows = [(i, f"https://h{i % 40}.com/{'Ads' if i % 3 else 'ads'}/X{i % 7}", "") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [r[:2] for r in rows])
+    want = con.sql(urls.OP10_SQL)
+    got = urls.judge(urls.captures(pages), urls.list_changes(pages)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert any("/Ads" in r.entries for r in got)
