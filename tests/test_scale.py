@@ -74,3 +74,22 @@ def test_entry_queries_run(spark, key):
 
 def test_every_query_has_checking_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
+
+
+def test_every_affected_version_gets_its_paths(spark):
+    fleet = Fleet.of(spark, SF)
+    up = {}
+    for src, dst in [(r.dst, r.src) for r in fleet.depends_on.collect()] + [(r.pv, "svc:" + r.service.lower()) for r in fleet.lock_root.collect()]:
+        up.setdefault(src, set()).add(dst)
+    want = {}
+    for pv in {r.pv for r in fleet.affects.collect()}:
+        seen, front, hops = {pv}, {pv}, 0
+        while front and hops < 10 and not any(n.startswith("svc:") for n in front):
+            front, hops = {d for n in front for d in up.get(n, ())} - seen, hops + 1
+            seen |= front
+        if any(n.startswith("svc:") for n in front):
+            want[pv] = hops
+    got = {}
+    for key in ("q_paths_one_source", "q_paths_many", "view_dependency_path"):
+        got = {r.source: r.hops for r in catalog.QUERIES[key](spark, SF).groupBy("source").agg(F.min("hops").alias("hops")).collect()}
+        assert got == want, key
