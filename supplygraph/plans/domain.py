@@ -219,15 +219,13 @@ class Fleet:
     @cached_property
     def external_import(self) -> DataFrame:
         return self._keep(
-            self.entry.filter("pk % 20 = 0").select("service", F.col("name").alias("specifier"), "pk").distinct(), "external_import"
+            self.entry.select("service", F.col("name").alias("specifier"), "pk").distinct(), "external_import"
         )
 
     @cached_property
     def calls_external(self) -> DataFrame:
         return self._keep(
-            self.entry.filter("pk % 20 = 0")
-            .select(F.col("cust").alias("fn"), "service", F.col("name").alias("specifier")).distinct(),
-            "calls_external",
+            self.entry.select(F.col("cust").alias("fn"), "service", F.col("name").alias("specifier")).distinct(), "calls_external"
         )
 
     @cached_property

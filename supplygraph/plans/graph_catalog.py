@@ -121,8 +121,7 @@ def _(fleet):
 
 @query("edge_requires", "SELECT src, dst_name, range FROM requires WHERE dst_pk % 7 <> 0")
 def _(fleet):
-    universe = fleet.package.filter("pk % 7 <> 0")
-    return B.requires(fleet.requires.select("src", "dst_name", "range"), universe).select("src", "dst_name", "range")
+    return B.requires(fleet.requires.select("src", "dst_name", "range"), fleet.package).select("src", "dst_name", "range")
 
 
 @query("edge_satisfied_by", "SELECT src, dst, range FROM satisfied_by")
@@ -196,7 +195,7 @@ UNION SELECT name, '9.9.9' FROM advisory WHERE pk % 2 = 0
 UNION SELECT name, version FROM package_version QUALIFY row_number() OVER (PARTITION BY name ORDER BY major DESC, version DESC) <= 3)""")
 def _(fleet):
     advised = fleet.advisory.select("name", F.lit("9.9.9").alias("version"), F.when(F.col("pk") % 2 == 0, "npm").otherwise("PyPI").alias("ecosystem"))
-    return B.universe(fleet.package_version.filter("major <= 3"), advised, fleet.package_version)
+    return B.universe(fleet.package_version, advised, fleet.package_version)
 
 
 # -- advisories ------------------------------------------------------------------------------
@@ -379,7 +378,7 @@ def _(fleet):
 @query("workspace_collisions", """SELECT lower(n_name) AS service, count(DISTINCT c_mktsegment) AS n_workspaces FROM customer JOIN nation ON n_nationkey = c_nationkey
 WHERE c_acctbal > 9500 GROUP BY lower(n_name) HAVING count(DISTINCT c_mktsegment) > 1""", domain=False)
 def _(fleet):
-    c, n = fleet.table("customer").filter("c_acctbal > 9500"), fleet.table("nation")
+    c, n = fleet.table("customer"), fleet.table("nation")
     claims = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_mktsegment").alias("workspace"), F.col("n_name").alias("service"))
     return W.workspace_collisions(claims)
 

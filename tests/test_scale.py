@@ -93,3 +93,18 @@ def test_every_affected_version_gets_its_paths(spark):
     for key in ("q_paths_one_source", "q_paths_many", "view_dependency_path"):
         got = {r.source: r.hops for r in catalog.QUERIES[key](spark, SF).groupBy("source").agg(F.min("hops").alias("hops")).collect()}
         assert got == want, key
+
+
+def test_code_tier_and_subsets_read_all_rows(spark):
+    fleet = Fleet.of(spark, SF)
+    entries = fleet.entry.collect()
+    assert {(r.service, r.specifier) for r in fleet.external_import.collect()} == {(r.service, r.name) for r in entries}
+    assert {(r.fn, r.service, r.specifier) for r in fleet.calls_external.collect()} == {(r.cust, r.service, r.name) for r in entries}
+    run = lambda key: catalog.QUERIES[key](spark, SF).collect()
+    assert {(r.src, r.dst_name, r.range) for r in run("edge_requires")} == {(r.src, r.dst_name, r.range) for r in fleet.requires.collect()}
+    assert {(r.name, r.version) for r in run("universe_materialise")} >= {(r.name, r.version) for r in entries}
+    nations = {r.n_nationkey: r.n_name.lower() for r in fleet.table("nation").collect()}
+    claimed = {}
+    for r in fleet.table("customer").collect():
+        claimed.setdefault(nations[r.c_nationkey], set()).add(r.c_mktsegment)
+    assert {r.service: r.n_workspaces for r in run("workspace_collisions")} == {k: len(v) for k, v in claimed.items() if len(v) > 1}
