@@ -135,17 +135,17 @@ def micro_graph(fleet, depth: DataFrame) -> DataFrame:
     return nodes.join(fleet.heat.select("node", "heat"), "node", "left")
 
 
-def full_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """At most ``cap`` nodes per label, edges between kept nodes, and the counts.
+def full_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], cap: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All nodes, the edges between them, and the counts; with ``cap`` that many nodes per label at most.
 
-    ``nodes``: label to (node). ``edges``: type to (src, dst).
+    What a cap leaves out is the difference of ``n_total`` and ``n_shown``. ``nodes``: label to (node). ``edges``: type to (src, dst).
     """
     every = None
     for label, df in nodes.items():
         part = df.select(F.lit(label).alias("label"), "node")
         every = part if every is None else every.unionByName(part)
     every = every.distinct()
-    kept = top_k(every, ["label"], [F.col("node")], cap).drop("rank")
+    kept = every if cap is None else top_k(every, ["label"], [F.col("node")], cap).drop("rank")
     links = None
     for kind, df in edges.items():
         part = df.select(F.lit(kind).alias("edge"), "src", "dst")

@@ -395,7 +395,7 @@ def _whole(fleet):
         "depends_on": fleet.depends_on, "affects": fleet.affects.select(F.col("advisory_id").alias("src"), F.col("pv").alias("dst")),
         "resolved_in": fleet.resolved_in.select(F.col("pv").alias("src"), F.col("service").alias("dst")), "compromises": fleet.incident.select(F.col("incident_id").alias("src"), F.col("pv").alias("dst")),
     }
-    return W.full_graph(nodes, edges, 2000)
+    return W.full_graph(nodes, edges)
 
 
 _FULL_SQL = """, n AS (SELECT 'package_version' AS label, pv AS node FROM package_version UNION SELECT 'advisory', advisory_id FROM advisory UNION SELECT 'incident', incident_id FROM incident UNION SELECT 'service', service FROM workspace),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from supplygraph.operators.findings import confidence
 from supplygraph.operators.fixpoint import top_k
+from supplygraph.operators import views as W
 from supplygraph.plans import catalog
 from supplygraph.plans.domain import Fleet
 from supplygraph.session import shared_dir
@@ -108,3 +109,15 @@ def test_code_tier_and_subsets_read_all_rows(spark):
     for r in fleet.table("customer").collect():
         claimed.setdefault(nations[r.c_nationkey], set()).add(r.c_mktsegment)
     assert {r.service: r.n_workspaces for r in run("workspace_collisions")} == {k: len(v) for k, v in claimed.items() if len(v) > 1}
+
+
+def test_full_graph_is_full_without_a_cap(spark):
+    nodes = spark.range(2_500).selectExpr("format_string('p%05d', id) AS node")
+    edges = nodes.selectExpr("node AS src", "'p02499' AS dst")
+    shown = lambda *cap: [df.collect() for df in W.full_graph({"p": nodes}, {"e": edges}, *cap)]
+    kept, links, stats = shown()
+    assert len(kept) == len(links) == 2_500 and {tuple(r) for r in stats} == {("p", 2_500, 2_500), ("e", 2_500, 2_500)}
+    kept, links, stats = shown(2_000)
+    assert len(kept) == 2_000 and not links and {tuple(r) for r in stats} == {("p", 2_500, 2_000), ("e", 2_500, 0)}
+    fleet = Fleet.of(spark, SF)
+    assert catalog.QUERIES["view_full_graph"](spark, SF).where("label = 'package_version'").count() == fleet.package_version.count()
