@@ -8,7 +8,9 @@ and by its place. Viterbi decoding labels the blocks of a page as main text or
 not. The field is trained on labelled pages that are laid out by rule below:
 each template states which of its parts are main text.
 
-Scripts, styles, templates, comments and the head are markup, not blocks.
+Scripts, styles, templates, comments and the head are markup, not blocks; so is
+what an attribute hides (``hidden``, ``aria-hidden="true"``, a style with
+``display: none``). Text of formulas and drawings is text of the block around it.
 Missing end tags close where HTML closes them: a paragraph at the next block, a
 list item at the next item, everything at the end of the page.
 
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 from supplygraph.llm import common as C
 from supplygraph.llm.crf import ChainCrf
 
-RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "math", "select", "title", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "select", "title", "xmp", "noembed", "noframes")
+#: Elements with markup of their own, of which only the text is read, and what is no text in them.
+FOREIGN = ("svg", "math")
+UNSEEN = re.compile(r"<(script|style|title|desc|metadata|annotation(?:-xml)?)(?=[\s/>])(?:[^>]*/>|.*?</\1\s*>)", re.I | re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open tag of the first kind ends where one of the second begins in the same parent.
@@ -45,7 +50,9 @@ TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ANY_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+MAY_HIDE = re.compile("hidden|none", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -103,6 +110,17 @@ class _Reader:
                 return
 
 
+def hides(attributes: str) -> bool:
+    """Whether a tag's attributes hide what is in it."""
+    if MAY_HIDE.search(attributes) is None:
+        return False
+    for a in ANY_ATTRIBUTE.finditer(attributes):
+        name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in page order."""
     r, at, n = _Reader(), 0, len(page)
@@ -122,6 +140,14 @@ def blocks_of(page: str) -> list[Block]:
                 r.parts.append(" ")
                 r.tags += 1
             continue
+        if tag in FOREIGN:
+            ends = None if m["end"] or m["rest"].endswith("/") else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if ends:
+                inner = TOKEN.sub("" if tag == "math" else " ", UNSEEN.sub("", page[at: ends.start()]))
+                if not inner.isspace() and not hides(m["rest"]):
+                    r.text(inner)
+                at = ends.end()
+            continue
         if m["end"]:
             if tag not in INLINE:
                 r.flush()
@@ -147,7 +173,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         rest = m["rest"]
         words = {w for a in ATTRIBUTE.finditer(rest) for w in WORD.findall((a[2] or a[3] or a[4] or "").lower())} if rest.strip(" /") else ()
-        r.stack.append(_Open(tag, (tag, *(f".{w}" for w in sorted(words))), bool(rest) and HIDDEN.search(rest) is not None))
+        r.stack.append(_Open(tag, (tag, *(f".{w}" for w in sorted(words))), bool(rest) and hides(rest)))
     r.flush()
     return r.blocks
 

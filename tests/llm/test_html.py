@@ -51,3 +51,16 @@ def test_nulls_and_empty_table(spark):
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in H.main_text(df).collect())
     assert got == [(0, "u", "", 0), (1, "", "", 0), (3, "u", "Some text.", 10), (3, "u", "Some text.", 10)]
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_only_attributes_that_hide_do():
+    for a in ('class="overflow-hidden hidden-xs"', 'aria-hidden="false"', 'data-hidden="0"', 'title="Hidden valley, display:none"', "href='/hidden-gems'", "style='display:block'"):
+        assert text_of(f"<article><div {a}><p>Some text of it, <a {a}>with a link</a>.</p></div></article>") == "Some text of it, with a link."
+    for a in ("hidden", 'class="x" hidden=""', "HIDDEN", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display: none"'):
+        assert H.blocks_of(f"<p>a</p><div {a}><p>z</p></div><svg {a}><text>z</text></svg>")[-1].text == "a"
+
+
+def test_formulas_and_drawings():
+    page = '<article><p>We see <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="t">x=2</annotation></math> here <svg viewBox="0"><title>t</title><path d="M0"/></svg>now.</p><svg/><p>Next <svg><text>label</text></svg>.</p></article>'
+    assert text_of(page) == "We see x=2 here now. Next label ."
+    assert [b.text for b in H.blocks_of("<p>a<math>b<p>c")] == ["ab", "c"]
