@@ -4,13 +4,16 @@ All of it is DataFrame and SQL functions. Matches and their places come from
 splitting a text at a pattern: the pieces between the matches and the matches
 themselves add up to the offsets (in code points).
 
-The method's spans are stretches matching ``CANDIDATE`` (20 characters or
-more, a digit among them) that no base span touches and that are likelier under a Markov model of random strings than under
-one of ordinary identifiers, by more than ``MARGIN`` per pair of neighbours. Both
-are first-order models over character classes (a-z, A-Z and digits one by one,
-other characters together). They are trained on strings whose label is known,
+The method's spans are stretches matching ``CANDIDATE`` that no base span touches
+and that are likelier under a Markov model of random strings than under one of
+ordinary identifiers, by more than ``MARGIN`` per pair of neighbours, or in all by
+more than ``LEAST_RATIO`` if they are shorter than ``SHORT``. Of a stretch that is not, its parts between ``+``,
+``/``, ``_`` and ``-`` (``PART``) are judged in the same way. A string of less than
+``LEAST`` characters is too short to tell and is not scored. Both models are
+first-order models over character classes (a-z, A-Z and digits one by one, other
+characters together). They are trained on strings whose label is known,
 from every document that has a base span: what the base spans hold is random,
-the words and numbers around them are ordinary. Pairs are counted by one partial
+the words and numbers around them are ordinary, as written and in capitals. Pairs are counted by one partial
 aggregation; the counts, at most 2 x 63 x 63 rows whatever the input, make one
 constant array of log-likelihood ratios. The random model is drawn towards equal
 chances by ``RANDOM_PRIOR`` so that other random alphabets than the sample's fit
@@ -37,9 +40,12 @@ VALUE = r"[A-Za-z0-9+/_.=-]+"
 KINDS = ("assign", "access", "hex", "markov")
 PATTERNS = {"assign": ASSIGN + VALUE, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 LEAST_VALUE = 6
-#: What the models judge, and by how much the log-likelihoods per character must differ.
-CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+#: What the models judge, by how much the log-likelihoods per pair must differ, and by how much in all in a string of less than SHORT characters.
+LEAST = 8
+CANDIDATE = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}"
+PART = f"(?:(?<=[+/_-])[A-Za-z0-9]{{{LEAST},}}|(?<![A-Za-z0-9])[A-Za-z0-9]{{{LEAST},}}(?=[+/_-]))"
 MARGIN = 0.6
+SHORT, LEAST_RATIO = 20, 20.0
 RANDOM_PRIOR, ORDINARY_PRIOR = 200.0, 20.0
 #: Ordinary strings of the training sample.
 ORDINARY = "[A-Za-z0-9][A-Za-z0-9_-]{7,}"
@@ -84,6 +90,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
     known = found.where("size(assign) + size(access) + size(hex) > 0")
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", PATTERNS["assign"], " "), PATTERNS["access"], " "), PATTERNS["hex"], " ")
     values = known.select(F.concat(F.col("assign.value"), F.col("access.value"), F.col("hex.value")).alias("random"), F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)).alias("ordinary"))
+    values = values.withColumn("ordinary", F.concat("ordinary", F.transform("ordinary", F.upper)))
     labelled = values.select(F.explode(F.concat(
         F.transform("random", lambda v: F.struct(F.lit(True).alias("random"), v.alias("value"))), F.transform("ordinary", lambda v: F.struct(F.lit(False).alias("random"), v.alias("value"))),
     )).alias("s")).select("s.*").where("length(value) > 1")
@@ -110,10 +117,14 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     model = ratios(pair_counts(found)) if model is None else model
     weights = "cast(split('" + ",".join(f"{w:.5f}" for w in model) + "', ',') as array<double>)"
     base = F.concat("assign", "access", "hex")
-    free = F.filter("stretch", lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    scored = found.withColumn("stretch", spans("text", CANDIDATE)).withColumn("open", F.when(F.size("stretch") > 0, free).otherwise(F.col("stretch")))
-    judged = F.expr(f"filter(open, s -> aggregate({pairs('s.value')}, 0D, (a, p) -> a + element_at({weights}, p + 1)) > {MARGIN} * (length(s.value) - 1))")
-    return scored.withColumn("markov", F.when(F.size("open") > 0, judged).otherwise(F.col("open"))).select("doc_id", *KINDS)
+    apart = lambda c, others: ~F.exists(others, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    likely = lambda name: F.expr(
+        f"filter({name}, s -> aggregate({pairs('s.value')}, 0D, (a, p) -> a + element_at({weights}, p + 1)) > IF(length(s.value) < {SHORT}, {LEAST_RATIO}D, {MARGIN} * (length(s.value) - 1)))"
+    )
+    found = found.withColumns({"stretch": spans("text", CANDIDATE), "part": spans("text", PART)})
+    found = found.withColumn("whole", likely("stretch")).withColumn("whole", F.filter("whole", lambda c: apart(c, base)))
+    found = found.withColumn("part", likely("part")).withColumn("part", F.filter("part", lambda c: apart(c, F.concat(base, F.col("whole")))))
+    return found.withColumn("markov", F.concat("whole", "part")).select("doc_id", *KINDS)
 
 
 def listed(kinds: tuple[str, ...]) -> Column:

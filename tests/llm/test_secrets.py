@@ -50,3 +50,20 @@ def test_no_python_and_empty_tables(documents):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert secrets.scan(documents([])).count() == 0
+
+
+def test_strings_without_digits_short_ones_and_ones_within_paths(documents):
+    rnd = random.Random(9)
+    plain = "the internationalization of documentation requires understanding because applications throughout organisations home projects configuration "
+    random_of = lambda n, a: "".join(rnd.choice(a) for _ in range(n))
+    letters = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+    rows = [(i, f'{plain} token = "{random_of(40, letters + "0123456789")}" {plain}') for i in range(60)]
+    cases = {"letters": (32, letters, ""), "short": (16, letters + "0123456789", ""), "path": (32, letters + "0123456789", "/home/user/projects/documentation/configuration/understanding/applications/")}
+    keys = {(k, name): (f"see {before}{key} there", 4 + len(before), key) for name, (n, a, before) in cases.items() for k in range(20) for key in [random_of(n, a)]}
+    at = {500 + i: k for i, k in enumerate(keys)}
+    rows += [(i, keys[k][0]) for i, k in at.items()]
+    got = {r.doc_id: [(m.start, m.value) for m in r.markov] for r in secrets.scan(documents(rows)).collect()}
+    for name in cases:
+        hits = sum(any(m.startswith(key) or key in m for s, m in got[i]) and any(s <= start <= s + len(m) for s, m in got[i]) for i, k in at.items() if k[1] == name for _, start, key in [keys[k]])
+        assert hits >= 18, (name, hits)
+    assert not any(got[i] for i in range(60))
