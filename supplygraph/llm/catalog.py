@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplygraph.llm import bpe, common, decontaminate, html, lines, near, quality, secrets, substrings, token_files, urls
+from supplygraph.llm import align, bpe, common, decontaminate, html, lines, near, quality, secrets, substrings, token_counts, token_files, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +21,15 @@ _QUERIES: dict[str, Query] = {
     "op8_near_duplicates": near.op8_near_duplicates,
     "op9_html": html.op9_html,
     "op10_url_lists": urls.op10_url_lists,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_vector_codes": vectors.op12_vector_codes,
+    "op13_alignment": align.op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_substrings": substrings.OP1_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_url_lists": urls.OP10_SQL,
+    "op12_vector_codes": vectors.OP12_SQL,
 }
 
 
