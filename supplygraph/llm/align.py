@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplygraph.llm import bpe, token_counts
+from supplygraph.llm import bpe
 from supplygraph.llm import common as C
 from supplygraph.llm import pretoken as P
 from supplygraph.session import Scratch
@@ -44,7 +44,7 @@ from supplygraph.session import Scratch
 #: Ends in a piece of the merge path.
 PIECE = 65_536
 #: Bytes of text of a slice.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 class ByteLevel:
@@ -87,20 +87,22 @@ class ByteLevel:
 
 
 class PieceLevel:
-    """A sentencepiece BPE model, merged segment by segment."""
+    """A sentencepiece model file."""
 
     def __init__(self, path: str):
-        self.model = token_counts.pieces(path)
-        self.spelling = self.model.spelling
-        self.cache = P.PieceIds(lambda texts: [self.model.tokens(t) for t in texts])
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = own = SentencePieceProcessor(model_file=path)
+        unseen = lambda i: own.is_control(i) or own.is_unknown(i)
+        self.spelling = [
+            bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else b"" if unseen(i) else own.id_to_piece(i).replace("▁", " ").encode("utf-8")
+            for i in range(own.get_piece_size())
+        ]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = C.flat(self.model.spelled(column))
-        starts, ends = self.model.segments(data, offsets)
-        if not len(starts):
-            return np.empty(0, np.uint32), np.zeros(len(column), np.int64)
-        ids, size = self.cache.ids(data, starts, ends)
-        return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, offsets)])
+        rows = self.model.encode(column.to_pylist(), num_threads=1)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter((i for row in rows for i in row), np.uint32, int(sizes.sum())), sizes
 
 
 class Strings:
@@ -307,7 +309,7 @@ def alignment_figures(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def _groups(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     one = aligner(path_a, path_b)
-    for batch in (s for whole in batches for s in C.slices([whole], limit=SLICE // 4)):
+    for batch in (s for whole in batches for s in C.slices([whole], limit=SLICE)):
         own = Slice(batch.column("text"), one)
         ends = own.ends_a[own.last_a]
         first = np.concatenate(([0], np.cumsum(np.bincount(own.row_a, one.names_a.size[own.a], batch.num_rows).astype(np.int64))))[own.group_row]
