@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from supplygraph.session import Scratch
 
 #: Ends in a piece of the merge path.
 PIECE = 65_536
+#: Pieces of A whose ids a task keeps before it starts anew.
+CACHED = 100_000
 #: Bytes of text of a slice.
 SLICE = 1_000_000
 
@@ -70,6 +73,8 @@ class ByteLevel:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of null-free texts, and each row's number of them."""
+        if len(self.cache.slot) > CACHED:
+            self.cache = P.PieceIds(self._ids)
         simple = P.simple_rows(column)
         data, offsets = C.flat(column.filter(pa.array(simple)))
         starts, ends = P.pieces(data, offsets, spaced=True)
@@ -102,7 +107,7 @@ class PieceLevel:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows = self.model.encode(column.to_pylist(), num_threads=1)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.fromiter((i for row in rows for i in row), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes
 
 
 class Strings:
