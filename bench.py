@@ -48,6 +48,7 @@ def main() -> None:
         t = time.perf_counter()
         getattr(fleet, table)
         print(f"  {table:20s} {time.perf_counter() - t:7.2f}s", file=sys.stderr)
+    fleet.keyed("package_version", "pv")
     times["ingest"] = round(time.perf_counter() - started, 3)
     for key in HEADLINE:
         t = time.perf_counter()

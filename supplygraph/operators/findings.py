@@ -78,33 +78,73 @@ def assess(fleet, ioc_paths: list[str] | None = None) -> DataFrame:
 # -- findings of a version -------------------------------------------------------
 
 
+#: What speaks against a finding, by the reason that it holds for.
+NEGATIVE = {
+    "incident": "no incident names this version",
+    "dev": "only a development dependency leads to it, so a production install leaves it out",
+    "window": "held outside the time in which the version was live",
+    "named": "no incident names this package",
+    "held": "its own lockfiles are no evidence here",
+    "alone": "nothing but the shared account speaks for it",
+    "name": "nothing but the similar name speaks for it",
+}
+
+
+def witnesses(flagged: DataFrame, links: DataFrame, identity: str) -> DataFrame:
+    """``identity, name, subject``: for each member of an identity, the least flagged version of another member.
+
+    ``flagged``: ``pv, name``. The least version of each identity and the least
+    of another package are enough: a member takes the first that is not its own.
+    """
+    marked = links.select(identity, "name").distinct().join(flagged.groupBy("name").agg(F.min("pv").alias("pv")), "name")
+    first = marked.groupBy(identity).agg(F.min(F.struct("pv", "name")).alias("one"))
+    second = marked.join(first, identity).filter(F.col("name") != F.col("one.name")).groupBy(identity).agg(F.min("pv").alias("two"))
+    both = first.join(second, identity, "left")
+    return links.select(identity, "name").distinct().join(both, identity).select(
+        identity, "name", F.when(F.col("one.name") == F.col("name"), F.col("two")).otherwise(F.col("one.pv")).alias("subject"),
+    ).filter("subject IS NOT NULL")
+
+
 def findings(fleet, squats: DataFrame) -> DataFrame:
-    """Every claim about a flagged version, one row per claim."""
-    marked = fleet.incident.select("pv", F.lit(True).alias("compromised"))
-    advised = fleet.affects.select("pv").distinct().withColumn("advised", F.lit(True))
-    flagged = marked.join(advised, "pv", "full_outer")
+    """Every claim about a flagged version, one row per claim.
+
+    ``subject`` is always a version; where an account or a name connects many
+    flagged versions with a package, it is the least of them and the package has
+    one row for the account, not one for each version. ``path`` leads from the
+    entity to the subject, ``negatives`` says what speaks against the claim.
+    """
+    marked = fleet.incident.groupBy("pv").agg(F.min("incident_id").alias("incident_id"))
+    advised = fleet.affects.groupBy("pv").agg(F.slice(F.array_sort(F.collect_set("advisory_id")), 1, 3).alias("advisories"))
+    flagged = marked.join(advised, "pv", "full_outer").withColumn("compromised", F.col("incident_id").isNotNull())
     live = R.live_window(
         fleet.incident.select("pv", F.col("live_from").alias("since"), F.col("live_until").alias("until")), fleet.resolved_in
     ).select("pv", "service", F.lit(True).alias("live")).distinct()
     # one row per version with any overlap: absence elsewhere is then evidence
     any_live = live.select("pv", F.lit(True).alias("any_live")).distinct()
+    said = {k: F.lit(v) for k, v in NEGATIVE.items()}
 
-    def shape(df, subject, entity, kind, status, atoms, negatives):
+    def shape(df, subject, entity, kind, status, atoms, path, reason, negatives, identity=None):
+        against = F.array_compact(F.array(*negatives)) if negatives else F.array().cast("array<string>")
         return df.select(
-            subject.alias("subject"), entity.alias("entity"), F.lit(kind).alias("entity_type"), status.alias("status"),
-            F.array_compact(atoms).alias("atoms"), negatives.cast("bigint").alias("n_negative"),
+            subject.alias("subject"), (identity if identity is not None else F.lit(None).cast("string")).alias("identity"), entity.alias("entity"),
+            F.lit(kind).alias("entity_type"), status.alias("status"), F.array_compact(atoms).alias("atoms"), F.array_compact(path).alias("path"),
+            reason.alias("reason"), against.alias("negatives"),
         )
 
     pv = F.col("pv")
     direct = F.col("depth") == S.DIRECT_DEPTH
-    own = shape(marked, pv, pv, "PackageVersion", F.lit("DIRECTLY_COMPROMISED"), F.array(F.lit("DIRECTLY_COMPROMISED")), F.lit(0))
+    own = shape(
+        marked, pv, pv, "PackageVersion", F.lit("DIRECTLY_COMPROMISED"), F.array(F.lit("DIRECTLY_COMPROMISED")), F.array(pv),
+        F.concat(F.lit("incident "), "incident_id", F.lit(" names it")), [],
+    )
     vuln = shape(
-        flagged.filter("advised"), pv, pv, "PackageVersion", F.lit("VULNERABLE"), F.array(F.lit("KNOWN_VULNERABILITY")),
-        F.when(F.col("compromised"), 0).otherwise(1),
+        flagged.filter("advisories IS NOT NULL"), pv, pv, "PackageVersion", F.lit("VULNERABLE"), F.array(F.lit("KNOWN_VULNERABILITY")), F.array(pv),
+        F.array_join("advisories", "; "), [F.when(~F.col("compromised"), said["incident"])],
     )
     projects = (
         fleet.resolved_in.join(flagged, "pv").join(live, ["pv", "service"], "left").join(any_live, "pv", "left")
     )
+    via = F.when(~direct & (F.coalesce("via_direct", F.lit("")) != ""), F.col("via_direct"))
     held = shape(
         projects, pv, F.col("service"), "Project",
         F.when(direct, "DIRECTLY_EXPOSED").otherwise("TRANSITIVELY_EXPOSED"),
@@ -112,20 +152,25 @@ def findings(fleet, squats: DataFrame) -> DataFrame:
             F.lit("RESOLVES_COMPROMISED_VERSION"), F.when(~direct, F.lit("TRANSITIVELY_EXPOSED")),
             F.when(F.col("live"), F.lit("LIVE_WINDOW_OVERLAP")),
         ),
-        F.col("dev_only").cast("int") + F.when(F.col("live").isNull() & F.col("any_live"), 1).otherwise(0),
+        F.array(F.col("service"), via, pv),
+        F.concat(F.lit("a lockfile resolves "), pv, F.when(direct, "").otherwise(F.concat(F.lit(" at depth "), F.col("depth").cast("string"), F.coalesce(F.concat(F.lit(" via "), via), F.lit(""))))),
+        [F.when(F.col("dev_only"), said["dev"]), F.when(F.col("live").isNull() & F.col("any_live"), said["window"])],
     )
-    subjects = flagged.join(fleet.package_version.select("pv", "name"), "pv").select("name").distinct()
-    related = R.shared_identity(fleet.maintained_by, subjects, "maintainer", "name")
+    named = flagged.select("pv").join(fleet.package_version.select("pv", "name"), "pv")
+    near = witnesses(named, fleet.maintained_by, "maintainer")
+    account = F.concat(F.lit("maintainer "), F.col("maintainer"))
     kin = shape(
-        related, F.concat(F.lit("maintainer "), F.col("maintainer")), F.col("name"), "Package",
-        F.lit("RELATED / INVESTIGATE"), F.array(F.lit("SHARED_MAINTAINER")), F.lit(3),
+        near, F.col("subject"), F.col("name"), "Package", F.lit("RELATED / INVESTIGATE"), F.array(F.lit("SHARED_MAINTAINER")),
+        F.array(F.col("name"), account, F.col("subject")), F.concat(account, F.lit(" also maintains the package of "), "subject"),
+        [said["named"], said["held"], said["alone"]], account,
     )
     looks = shape(
-        squats.join(subjects.withColumnRenamed("name", "target"), "target", "left_semi"), F.col("target"), F.col("candidate"),
-        "Package", F.lit("RELATED / INVESTIGATE"), F.array(F.lit("TYPOSQUAT_NEIGHBOR")), F.lit(1),
+        squats.select("candidate", "target").distinct().join(named.groupBy(F.col("name").alias("target")).agg(F.min("pv").alias("subject")), "target"),
+        F.col("subject"), F.col("candidate"), "Package", F.lit("RELATED / INVESTIGATE"), F.array(F.lit("TYPOSQUAT_NEIGHBOR")),
+        F.array(F.col("candidate"), F.col("target"), F.col("subject")), F.concat(F.lit("its name resembles "), "target"), [said["name"]],
     )
     rows = own.unionByName(vuln).unionByName(held).unionByName(kin).unionByName(looks)
-    return rows.withColumn("confidence", confidence(F.col("atoms")))
+    return rows.withColumn("n_negative", F.size("negatives").cast("bigint")).withColumn("confidence", confidence(F.col("atoms")))
 
 
 def blast_radius(fleet, subjects: DataFrame, squats: DataFrame) -> DataFrame:
@@ -223,21 +268,24 @@ def function_counts(loads: DataFrame, calls_external: DataFrame) -> DataFrame:
 
     Versions loaded by the same imports have the same functions (all of an
     import's subtree, as a rule), so functions are matched once per such class
-    and not once per version. A class is known by the number, extremes and two
-    hash sums of its imports, all of which aggregate before the shuffle.
+    and not once per version. Candidates for a class have equal number, extremes
+    and hash sum of their imports; rows then decide: in a class every import has
+    as many versions as the class, else its versions stand for themselves.
     """
     key = F.struct("service", "specifier")
-    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "service", "specifier").cast("decimal(38,0)"))
-    classes = loads.groupBy("pv").agg(
-        F.count("*").alias("k0"), F.min(key).alias("k1"), F.max(key).alias("k2"), mark(1).alias("k3"), mark(2).alias("k4")
-    )
-    marks = ["k0", "k1", "k2", "k3", "k4"]
-    chosen = classes.groupBy(*marks).agg(F.min("pv").alias("chosen"))
+    mark = F.sum(F.xxhash64("service", "specifier").cast("decimal(38,0)"))
+    summed = loads.groupBy("pv").agg(F.count("*").alias("k0"), F.min(key).alias("k1"), F.max(key).alias("k2"), mark.alias("k3"))
+    marks = ["k0", "k1", "k2", "k3"]
+    chosen = summed.groupBy(*marks).agg(F.min("pv").alias("chosen"), F.count("*").alias("members"))
+    classes = summed.join(chosen, marks).select("pv", "chosen", "members")
+    shared = loads.join(classes.filter("members > 1"), "pv").groupBy("chosen", "service", "specifier", "members").agg(F.count("*").alias("n"))
+    unlike = shared.filter("n <> members").select("chosen").distinct().withColumn("unlike", F.lit(True))
+    settled = classes.join(unlike, "chosen", "left").select("pv", F.when(F.col("unlike"), F.col("pv")).otherwise(F.col("chosen")).alias("chosen"))
     per_class = (
-        loads.join(chosen.select(F.col("chosen").alias("pv")), "pv", "left_semi").join(calls_external, ["service", "specifier"])
+        loads.join(settled.select(F.col("chosen").alias("pv")).distinct(), "pv", "left_semi").join(calls_external, ["service", "specifier"])
         .select(F.col("pv").alias("chosen"), "fn").distinct().groupBy("chosen").agg(F.count("*").alias("function_count"))
     )
-    return classes.join(chosen, marks).join(per_class, "chosen").select("pv", "function_count")
+    return settled.join(per_class, "chosen").select("pv", "function_count")
 
 
 def threat_order() -> list[Column]:
@@ -340,12 +388,15 @@ def range_vs_lock(fleet) -> DataFrame:
     return possible.join(confirmed, "pv", "full_outer").select("pv", zero("range_only"), zero("confirmed"))
 
 
-def suggested_targets(fleet, limit: int = 20) -> DataFrame:
+def suggested_targets(fleet, limit: int | None = None) -> DataFrame:
+    """Held versions by how much speaks for looking at them: all, or the first ``limit``."""
     advisories = fleet.affects.groupBy("pv").agg(F.count("*").alias("n_advisories"))
     marked = fleet.incident.select("pv", F.lit(1).alias("marked")).distinct()
     ranked = range_vs_lock(fleet).join(advisories, "pv", "left").join(marked, "pv", "left").select(
         "pv", zero("marked"), zero("n_advisories"), "range_only", "confirmed"
     )
+    if limit is None:
+        return ranked
     return ranked.orderBy(F.desc("marked"), F.desc("n_advisories"), F.desc("range_only"), F.desc("confirmed"), "pv").limit(limit)
 
 

@@ -1,4 +1,4 @@
-"""Iterative jobs: breadth-first reach, path enumeration, components.
+"""Iterative jobs: breadth-first reach, best paths, witness forests, components.
 
 All loops are semi-naive: a round joins only the rows found in the round before
 with the edges, removes what is already known with an anti join and appends the
@@ -6,7 +6,8 @@ rest to a written table. They end when nothing new is found; a bound on the
 depth is part of a question and never a default here. Edges are a written table
 and joined as they are: a small frontier is broadcast by its measured size and
 the edges do not move, a large one is joined by a shuffle whose hot keys the
-adaptive skew join may split. The anti join reads the known rows in each round.
+adaptive skew join may split. Once the known rows are many they are bucketed by
+their key, so that the anti join of a round moves the new rows only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from supplygraph.session import GrowingTable, Scratch
@@ -48,7 +49,7 @@ def reach(
     carry = carry or {}
     key = [*group, "node"]
     cols = [*key, "depth", *carry]
-    seen = GrowingTable(scratch, "reach")
+    seen = GrowingTable(scratch, "reach", key)
     first = seeds.withColumn("depth", F.lit(start_depth))
     first = first.groupBy(*key, "depth").agg(*[agg.alias(c) for c, agg in carry.items()]) if carry else (
         first.select(*key, "depth").distinct()
@@ -78,59 +79,179 @@ def shortest_paths(
     scratch: Scratch,
     max_hops: int,
     per_pair: int,
+    any_target: bool = False,
 ) -> DataFrame:
-    """Up to ``per_pair`` simple paths per (source, target), shortest first.
+    """Up to ``per_pair`` simple paths per (source, target), shortest first, equal lengths by path.
 
-    ``seeds``: ``source``. ``edges``: ``src, dst``. ``targets``: ``node``.
-    The graph is first cut to what the sources reach, then to nodes from which
-    a target is still reachable, so only useful prefixes grow. A source leaves
-    the frontier once every target it can reach has its paths, since later
-    rounds only yield longer ones. Equal lengths rank by path text.
+    ``seeds``: ``source``. ``edges``: ``src, dst``. ``targets``: ``node``. With
+    ``any_target`` the number holds for a source over all its targets.
+
+    The graph is cut to what the sources reach. Paths then grow backwards from
+    the targets: a node keeps its ``width`` best ways to each target, so the rows
+    are bounded by nodes, targets and width, however many paths there are. A way
+    that is not among a node's best is on no wanted path, because the better ones
+    extend alike; only where one of them would visit a node twice may it be
+    needed after all. Targets where a node that lost ways had one refused for
+    that are done again with four times the width, until there is none.
     """
-    ends = targets.select(F.col("node").alias("target")).distinct()
     starts = seeds.select("source").distinct()
-    reached = reach(starts.select("source", F.col("source").alias("node")), edges, ["source"], scratch, max_hops)
-    pairs = scratch.save(
-        reached.filter("depth > 0").join(ends.withColumnRenamed("target", "node"), "node", "left_semi")
-        .select("source", F.col("node").alias("target")),
-        "pairs",
+    near = reach(starts.select(F.col("source").alias("node")), edges, [], scratch, max_hops)
+    live = scratch.save(
+        edges.select("src", "dst").distinct().join(near.select(F.col("node").alias("src"), F.col("depth").alias("before")), "src")
+        .join(near.select(F.col("node").alias("dst")), "dst", "left_semi"),
+        "live",
     )
-    near = reached.select(F.col("node").alias("src")).distinct()
-    around = scratch.save(edges.select("src", "dst").join(near, "src", "left_semi"), "around")
-    useful = reach(
-        pairs.select(F.col("target").alias("node")), around.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
-        [], scratch, max_hops,
-    ).select(F.col("node").alias("dst")).distinct()
-    live = scratch.save(around.join(useful, "dst", "left_semi").select("src", "dst"), "live")
-    frontier = starts.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    found = GrowingTable(scratch, "paths")
+    left = scratch.save(targets.select("node").distinct().join(near.select("node"), "node", "left_semi").select(
+        "node", F.lit("").alias("goal") if any_target else F.col("node").cast("string").alias("goal")
+    ), "goals")
+    width, parts = per_pair, []
+    while True:
+        ways, again = best_ways(left, live, scratch, max_hops, width)
+        mine = ways.filter("hops > 0").join(starts, F.col("node") == F.col("source"), "left_semi")
+        if again is None:
+            parts.append(mine)
+            break
+        parts.append(mine.join(again, "goal", "left_anti"))
+        left, width = left.join(again, "goal", "left_semi"), 4 * width
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    ranked = top_k(found, ["node", "goal"], [F.col("hops"), F.col("path")], per_pair)
+    return ranked.select(F.col("node").alias("source"), F.element_at("path", -1).alias("target"), "hops", "path", "rank")
+
+
+def best_ways(goals: DataFrame, live: DataFrame, scratch: Scratch, max_hops: int, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """``node, goal, hops, path``: each node's ``width`` best simple ways to each goal, and the goals for which that was too few.
+
+    ``goals``: ``node, goal``. ``live``: ``src, dst, before``, the last being the
+    least number of hops in which ``src`` is reached at all.
+    """
+    kept = GrowingTable(scratch, "ways")
+    frontier, n = kept.append(goals.select("node", "goal", F.lit(0).alias("hops"), F.array("node").alias("path"), F.lit(False).alias("over")))
+    refused = []
     for hops in range(1, max_hops + 1):
-        step = (
-            frontier.join(live, frontier["node"] == live["src"])
-            .filter(~F.array_contains("path", F.col("dst")))
-            .select("source", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        )
-        step, n = scratch.save_counted(step, "step")
         if n == 0:
             break
-        found.append(
-            step.join(ends, step["node"] == ends["target"]).select(
-                "source", "target", F.lit(hops).alias("hops"), "path"
-            )
+        grown = frontier.filter("not over").withColumnRenamed("node", "dst").join(live.filter(F.col("before") + hops <= max_hops), "dst")
+        loops, seen = F.array_contains("path", F.col("src")), Observation()
+        step = grown.observe(seen, F.count_if(loops).alias("n")).filter(~loops).select(
+            F.col("src").alias("node"), "goal", F.lit(hops).alias("hops"), F.concat(F.array("src"), "path").alias("path")
         )
-        have = found.read().groupBy("source", "target").agg(F.count("*").alias("n"))
-        waiting = (
-            pairs.join(have.filter(F.col("n") >= per_pair), ["source", "target"], "left_anti")
-            .select("source").distinct()
+        # one more than may stay tells whether any is lost
+        best = top_k(step, ["node", "goal"], [F.col("path")], width + 1)
+        have = kept.read().filter("not over").groupBy("node", "goal").agg(F.count("*").alias("have"))
+        place = F.col("rank") + F.coalesce("have", F.lit(0))
+        fresh = best.join(have, ["node", "goal"], "left").filter(place <= width + 1).select(
+            "node", "goal", "hops", "path", (place > width).alias("over")
         )
-        frontier = step.join(waiting, "source", "left_semi")
-    if not found.paths:
-        empty = starts.select(
-            "source", F.col("source").alias("target"), F.lit(0).alias("hops"), F.array("source").alias("path"),
-            F.lit(0).alias("rank"),
-        )
-        return empty.limit(0)
-    return top_k(found.read(), ["source", "target"], [F.col("hops"), F.col("path")], per_pair)
+        last = frontier
+        frontier, n = kept.append(fresh)
+        if seen.get["n"]:
+            again = last.filter("not over").withColumnRenamed("node", "dst").join(live, "dst").filter(loops)
+            refused.append(scratch.save(again.select(F.col("dst").alias("node"), "goal").distinct(), "refused"))
+    ways = kept.read()
+    if not refused:
+        return ways.filter("not over").drop("over"), None
+    lost, some = ways.filter("over").select("node", "goal").distinct(), refused[0]
+    for more in refused[1:]:
+        some = some.unionByName(more)
+    again, n = scratch.save_counted(some.join(lost, ["node", "goal"], "left_semi").select("goal").distinct(), "again")
+    return ways.filter("not over").drop("over"), again if n else None
+
+
+def witness_forest(seeds: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
+    """``pv, node, depth, pred``: all that a seed reaches, with one predecessor on a shortest path.
+
+    ``seeds``: ``pv, node``. Of several predecessors the least counts, so the
+    whole path follows from the rows; ``rendered`` writes it out.
+    """
+    seen = GrowingTable(scratch, "forest", ["pv", "node"])
+    frontier, _ = seen.append(seeds.select("pv", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred")).distinct())
+    edges = scratch.save(edges.select("src", "dst"), "edges")
+    for depth in rounds(1, max_depth):
+        step = frontier.select("pv", F.col("node").alias("src")).join(edges, "src").groupBy("pv", F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
+        fresh = step.join(seen.read().select("pv", "node"), ["pv", "node"], "left_anti").select("pv", "node", F.lit(depth).alias("depth"), "pred")
+        frontier, n = seen.append(fresh)
+        if n == 0:
+            break
+    return seen.read()
+
+
+def rendered(forest: DataFrame, scratch: Scratch, wanted: DataFrame | None = None) -> DataFrame:
+    """``pv, node, depth, path``: the paths of a forest from seed to node, by pointer doubling.
+
+    A row knows the nodes from itself back to just before ``far``; a round puts
+    those of ``far`` in front, so a path of ``d`` nodes takes about log2 ``d``
+    rounds. ``wanted`` (``pv, node``) leaves out what lies on no wanted path.
+    """
+    if wanted is not None:
+        up = forest.filter("pred is not null").select("pv", F.col("node").alias("src"), F.col("pred").alias("dst"))
+        back = reach(wanted.select("pv", "node").distinct(), up, ["pv"], scratch, edge_keys=["pv"])
+        forest = forest.join(back.select("pv", "node"), ["pv", "node"], "left_semi")
+    done = GrowingTable(scratch, "paths")
+    first = forest.select("pv", "node", "depth", F.col("pred").alias("far"), F.array("node").alias("path"))
+    done.append(first.filter("far is null"))
+    waiting, n = scratch.save_counted(first.filter("far is not null"), "waiting")
+    while n:
+        known = done.read().unionByName(waiting).select("pv", F.col("node").alias("far"), F.col("far").alias("next"), F.col("path").alias("front"))
+        step = scratch.save(waiting.join(known, ["pv", "far"]).select("pv", "node", "depth", F.col("next").alias("far"), F.concat("front", "path").alias("path")), "doubled")
+        done.append(step.filter("far is null"))
+        waiting, n = scratch.save_counted(step.filter("far is not null"), "waiting")
+    out = done.read().drop("far")
+    return out if wanted is None else out.join(wanted.select("pv", "node").distinct(), ["pv", "node"], "left_semi")
+
+
+def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Strongly connected components: ``(node, root)``, the root being the least node.
+
+    ``edges``: ``src, dst``. Nodes without an edge in or out are components of
+    their own and go first, round by round. In what is left a node's colour is
+    the least node that reaches it; a component has one colour, and the nodes of
+    a colour that lead back to the colour's own node are its component. They go,
+    with all edges between colours, until no edge is left.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    left, n = scratch.save_counted(edges.select("src", "dst").filter("src <> dst").distinct(), "arcs")
+    parts = []
+    while n:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
+            left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        before = n
+        left, n = scratch.save_counted(inner.select("src", "dst"), "trimmed")
+        if n < before:
+            continue
+        colour = coloured(left, scratch)
+        both = left.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(
+            colour.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").filter("colour = other")
+        both = scratch.save(both.select("colour", F.col("dst").alias("src"), F.col("src").alias("dst")), "within")
+        roots = colour.filter("node = colour").select("colour", "node")
+        member = reach(roots, both, ["colour"], scratch, edge_keys=["colour"]).select("node", F.col("colour").alias("root"))
+        parts.append(member)
+        gone = member.select("node")
+        rest = both.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(
+            gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left, n = scratch.save_counted(rest, "arcs")
+    if not parts:
+        return nodes.select("node", F.col("node").alias("root"))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def coloured(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, colour``: the least node that reaches each node, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    state = scratch.save(nodes.select("node", F.col("node").alias("colour")), "colour")
+    moved, n = state, 1
+    while n:
+        offer = moved.withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+        joined = state.join(offer, "node", "left").select("node", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("moved"))
+        seen = Observation()
+        state = scratch.save(joined.observe(seen, F.count_if("moved").alias("n")), "colour")
+        moved, n = state.filter("moved").select("node", "colour"), seen.get["n"]
+        state = state.select("node", "colour")
+    return state
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -75,27 +75,30 @@ def publish_burst(
     """At least ``least`` versions of a package inside a sliding window.
 
     Reported once per window start, at the first recent version completing it.
-    The frame includes rows of the same second, so the count is the distance
-    between row numbers.
+    Versions are first counted by second, so a slice of a package holds a row a
+    second at most, however many versions it has; ``recent`` may look at
+    ``published_at`` alone. The version that completes a window is then found
+    by its place among those of its second, of which the first ``least`` are
+    enough.
     """
     known = versions.filter("published_at > 0").select("package", "version", "published_at")
-    spread = with_halo(known, "published_at", window, max(width, 2 * window))
-    part = Window.partitionBy("package", "_slice")
-    by_time = part.orderBy("published_at")
-    numbered = spread.withColumn("_rn", F.row_number().over(part.orderBy("published_at", "version")))
-    framed = numbered.withColumn(
-        "_start", F.min(F.struct("published_at", "version", "_rn")).over(by_time.rangeBetween(-window, 0))
-    ).withColumn("n_versions", F.col("_rn") - F.col("_start._rn") + 1)
-    ends = framed.filter(~F.col("_halo") & (F.col("n_versions") >= least))
+    seconds = known.groupBy("package", "published_at").agg(F.count("*").alias("n"), F.min("version").alias("first_version"))
+    spread = with_halo(seconds, "published_at", window, max(width, 2 * window))
+    frame = Window.partitionBy("package", "_slice").orderBy("published_at").rangeBetween(-window, 0)
+    framed = spread.withColumn("total", F.sum("n").over(frame)).withColumn(
+        "_start", F.min(F.struct("published_at", F.col("first_version").alias("version"))).over(frame)
+    )
+    # the version of a second that completes the window: as many of it as are still missing before it
+    place = F.greatest(F.lit(1), F.lit(least) - (F.col("total") - F.col("n")))
+    ends = framed.filter(~F.col("_halo") & (F.col("total") >= least)).withColumn("place", place)
     if recent is not None:
         ends = ends.filter(recent)
-    return ends.groupBy(
-        "package", F.col("_start.version").alias("start_version"), F.col("_start.published_at").alias("started_at")
-    ).agg(
-        F.min_by(F.struct("version", "published_at", "n_versions"), F.struct("published_at", "version")).alias("e")
-    ).select(
-        "package", F.col("e.version").alias("version"), F.col("e.published_at").alias("published_at"),
-        "start_version", "started_at", F.col("e.n_versions").cast("bigint").alias("n_versions"),
+    chosen = ends.groupBy("package", F.col("_start.version").alias("start_version"), F.col("_start.published_at").alias("started_at")).agg(
+        F.min_by(F.struct("published_at", "place", (F.col("total") - F.col("n") + F.col("place")).alias("n_versions")), "published_at").alias("e")
+    ).select("package", "start_version", "started_at", "e.*")
+    named = top_k(known, ["package", "published_at"], [F.col("version")], least).withColumnRenamed("rank", "place")
+    return chosen.join(named, ["package", "published_at", "place"]).select(
+        "package", "version", "published_at", "start_version", "started_at", F.col("n_versions").cast("bigint").alias("n_versions"),
     )
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from supplygraph import schema as S
 from supplygraph.functions import names as N
-from supplygraph.operators.fixpoint import reach, rounds, shortest_paths, top_k
-from supplygraph.session import GrowingTable, Scratch
+from supplygraph.operators.fixpoint import reach, rendered, shortest_paths, witness_forest
+from supplygraph.session import KeyedTable, Scratch
 
 
-def exact_lookup(versions: DataFrame, pv: str) -> DataFrame:
-    return versions.filter(F.col("pv") == pv)
+def exact_lookup(versions: KeyedTable, *pvs: str) -> DataFrame:
+    """The rows of the given versions, from the files that may hold them."""
+    return versions.lookup(*pvs)
 
 
 def held_versions(versions: DataFrame, names: DataFrame) -> DataFrame:
@@ -100,11 +101,10 @@ def upward_edges(depends_on: DataFrame, roots: DataFrame) -> DataFrame:
 def paths_one_source(subjects: DataFrame, up: DataFrame, services: DataFrame, scratch: Scratch,
                      max_hops: int, limit: int = S.PATHS_PER_SOURCE) -> DataFrame:
     """At most ``limit`` whole paths per version, shortest first."""
-    found = shortest_paths(
+    return shortest_paths(
         subjects.select(F.col("pv").alias("source")), up, services.select(N.service_key("service").alias("node")),
-        scratch, max_hops, limit,
+        scratch, max_hops, limit, any_target=True,
     )
-    return top_k(found.drop("rank"), ["source"], [F.col("hops"), F.col("path")], limit)
 
 
 def paths_many(subjects: DataFrame, up: DataFrame, services: DataFrame, scratch: Scratch,
@@ -115,32 +115,15 @@ def paths_many(subjects: DataFrame, up: DataFrame, services: DataFrame, scratch:
     )
 
 
-def exposure_paths(vulnerable: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
-    """One shortest path from each vulnerable node to everything above it."""
+def exposure_forest(vulnerable: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
+    """``pv, node, depth, pred``: everything above each vulnerable node, with one predecessor on a shortest path."""
     back = depends_on.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seeds = vulnerable.select("pv", F.col("pv").alias("node"), F.array("pv").alias("path"))
-    # A row carries the path that led to it; the loop extends it by its own node.
-    walked = reach_with_path(seeds, back, scratch, max_depth)
-    return walked.filter("depth > 0")
-
-
-def reach_with_path(seeds: DataFrame, edges: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
-    """Breadth-first reach keeping the least of the shortest paths."""
-    seen = GrowingTable(scratch, "walk")
-    frontier, _ = seen.append(seeds.select("pv", "node", F.lit(0).alias("depth"), "path"))
-    edges = scratch.save(edges.select("src", "dst"), "edges")
-    for depth in rounds(1, max_depth):
-        step = (
-            frontier.withColumnRenamed("node", "src").join(edges, "src")
-            .select("pv", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-            .groupBy("pv", "node").agg(F.min("path").alias("path"))
-            .join(seen.read().select("pv", "node"), ["pv", "node"], "left_anti")
-            .select("pv", "node", F.lit(depth).alias("depth"), "path")
-        )
-        frontier, n = seen.append(step)
-        if n == 0:
-            break
-    return seen.read()
+    return witness_forest(vulnerable.select("pv", F.col("pv").alias("node")), back, scratch, max_depth)
+
+
+def exposure_paths(vulnerable: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
+    """One shortest path from each vulnerable node to everything above it: at every step back the least predecessor."""
+    return rendered(exposure_forest(vulnerable, depends_on, scratch, max_depth), scratch).filter("depth > 0")
 
 
 # -- code --------------------------------------------------------------------
@@ -230,6 +213,11 @@ def truncated_callers(callers_frontier: DataFrame, calls: DataFrame) -> DataFram
 # -- heat --------------------------------------------------------------------
 
 
+def file_key():
+    """Key of the file of a function."""
+    return F.concat(F.lit("file:"), F.col("service"), F.lit(":"), F.col("file"))
+
+
 def heat_edges(fleet) -> DataFrame:
     """(src, dst): heat moves from ``src`` to ``dst``, against the graph's edges."""
     svc = N.service_key("service")
@@ -243,6 +231,7 @@ def heat_edges(fleet) -> DataFrame:
         .unionByName(fleet.calls_external.select(imp.alias("src"), fn("fn").alias("dst")))
         .unionByName(fleet.calls.select(fn("dst").alias("src"), fn("src").alias("dst")))
         .unionByName(fleet.route.select(fn("fn").alias("src"), route.alias("dst")))
+        .unionByName(fleet.function.select(fn("fn").alias("src"), file_key().alias("dst")))
         .distinct()
     )
 

@@ -15,25 +15,30 @@ from supplygraph.operators.fixpoint import top_k
 # -- lists ---------------------------------------------------------------------
 
 
-def capped(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """First rows in order, each with the number of rows left out."""
+def capped(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """First rows in order, each with the number of rows left out; all of them without a limit."""
+    if limit is None:
+        return df.withColumn("omitted", F.lit(0).cast("bigint"))
     total = df.agg(F.count("*")).scalar()
     return df.orderBy(*order).limit(limit).withColumn("omitted", F.greatest(total - limit, F.lit(0)).cast("bigint"))
 
 
-def capped_per(df: DataFrame, group: list[str], order: list[Column], limit: int) -> DataFrame:
+def capped_per(df: DataFrame, group: list[str], order: list[Column], limit: int | None) -> DataFrame:
     """The same per group; the count comes from its own partial aggregate."""
+    if limit is None:
+        return df.withColumn("omitted", F.lit(0).cast("bigint"))
     totals = df.groupBy(*group).agg(F.count("*").alias("_n"))
     return top_k(df, group, order, limit).join(totals, group).withColumn(
         "omitted", F.greatest(F.col("_n") - limit, F.lit(0)).cast("bigint")
     ).drop("_n")
 
 
-def threat_list(threat: DataFrame, only_reaching: bool = False, severity: str = "", limit: int = 12) -> DataFrame:
+def threat_list(threat: DataFrame, only_reaching: bool = False, severity: str = "", limit: int | None = None) -> DataFrame:
+    """Threats, foremost first if ``limit`` asks for that many of them."""
     rows = threat.filter("in_code") if only_reaching else threat
     if severity:
         rows = rows.filter(F.col("severity") == severity.strip().lower())
-    return capped(rows, G.threat_order(), max(1, min(limit, 40)))
+    return capped(rows, G.threat_order(), limit)
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -52,14 +57,20 @@ def closure_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 # -- graphs ---------------------------------------------------------------------
 
 
-def package_graph(fleet, subjects: DataFrame, admits: int = 30, related: int = 24) -> tuple[DataFrame, DataFrame]:
-    """Six layers around each subject version: nodes and edges."""
+def package_graph(fleet, subjects: DataFrame, admits: int | None = None, related: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Six layers around each subject version: nodes and edges.
+
+    All versions that admit a subject are shown unless ``admits`` says how many.
+    ``related`` names for each subject are a sample by name: all of them would
+    be every account's members times its subjects (``reach.shared_identity`` has
+    them in a row each).
+    """
     mine = subjects.select("pv").distinct()
     threat_nodes = (
         R.advisories_for(mine, fleet.affects).select("pv", F.col("advisory_id").alias("node"))
         .unionByName(fleet.incident.join(mine, "pv", "left_semi").select("pv", F.col("incident_id").alias("node")))
     )
-    admitted = top_k(R.direct_dependents(mine, fleet.satisfied_by), ["pv"], [F.col("dependent")], admits).select(
+    admitted = capped_per(R.direct_dependents(mine, fleet.satisfied_by), ["pv"], [F.col("dependent")], admits).select(
         "pv", F.col("dependent").alias("node")
     )
     locks = fleet.entry.join(mine, "pv", "left_semi").select("pv", F.concat(F.lit("lock:"), F.col("lock_id").cast("string")).alias("node"), "service").distinct()
@@ -101,12 +112,12 @@ def package_graph(fleet, subjects: DataFrame, admits: int = 30, related: int = 2
     return nodes.select("pv", "layer", "node", "heat"), edges
 
 
-def project_graph(fleet, clean: int = 40) -> tuple[DataFrame, DataFrame]:
-    """Per service: every hot version and a few clean direct ones; their edges."""
+def project_graph(fleet, clean: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per service: every hot version and the clean direct ones (``clean`` of them, if given); their edges."""
     held = fleet.resolved_in.select("service", "pv", "depth").join(
         fleet.heat.select(F.col("node").alias("pv"), "heat"), "pv", "left"
     )
-    cold = top_k(held.filter(F.col("heat").isNull() & (F.col("depth") == 1)), ["service"], [F.col("pv")], clean).drop("rank")
+    cold = capped_per(held.filter(F.col("heat").isNull() & (F.col("depth") == 1)), ["service"], [F.col("pv")], clean).select(*held.columns)
     nodes = held.filter("heat IS NOT NULL").unionByName(cold).withColumn("layer", F.least("depth", F.lit(5)))
     nodes = fleet.scratch.save(nodes.select("service", "pv", "layer", "heat"), "project_nodes")
     within = fleet.lock_edge.join(fleet.entry.select("lock_id", "service").distinct(), "lock_id").select("service", "src", "dst").distinct()
@@ -131,10 +142,26 @@ def micro_graph(fleet, depth: DataFrame) -> DataFrame:
         F.concat(F.lit("import:"), F.col("service"), F.lit(":"), F.col("specifier")).alias("node"), "service",
         F.lit("import").alias("layer"), F.lit(S.MAX_CALL_RANK + 1).alias("column"),
     ).distinct()
-    nodes = entries.unionByName(routes).unionByName(functions).unionByName(imports)
+    files = fleet.function.select(R.file_key().alias("node"), "service", F.lit("file").alias("layer"), F.lit(0).alias("column")).distinct()
+    nodes = entries.unionByName(routes).unionByName(files).unionByName(functions).unionByName(imports)
     return nodes.join(fleet.heat.select("node", "heat"), "node", "left")
 
 
+def micro_graph_edges(fleet) -> DataFrame:
+    """``src, dst, edge`` between the nodes of ``micro_graph``."""
+    fn = lambda c: F.concat(F.lit("fn:"), F.col(c).cast("string"))
+    imported = F.concat(F.lit("import:"), F.col("service"), F.lit(":"), F.col("specifier"))
+    link = lambda df, src, dst, edge: df.select(src.alias("src"), dst.alias("dst"), F.lit(edge).alias("edge"))
+    return (
+        link(fleet.function, N.service_key("service"), R.file_key(), "holds")
+        .unionByName(link(fleet.function, R.file_key(), fn("fn"), "contains"))
+        .unionByName(link(fleet.route, F.concat(F.lit("route:"), F.col("pattern")), fn("fn"), "handled_by"))
+        .unionByName(link(fleet.calls, fn("src"), fn("dst"), "calls"))
+        .unionByName(link(fleet.calls_external, fn("fn"), imported, "uses"))
+        .distinct()
+    )
+
+
 def full_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], cap: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All nodes, the edges between them, and the counts; with ``cap`` that many nodes per label at most.
 
@@ -280,13 +307,13 @@ def advisory_facts(by_hand: DataFrame, generated: DataFrame) -> DataFrame:
     ).select("advisory_id", "d.*", "source_rank")
 
 
-def dependency_path(paths: DataFrame, per_spec: int = 6) -> DataFrame:
-    """Rendered chains ``service -> ... -> version``, a few per version."""
-    few = top_k(paths.drop("rank"), ["source"], [F.col("hops"), F.col("path")], per_spec)
+def dependency_path(paths: DataFrame, per_spec: int | None = None) -> DataFrame:
+    """Rendered chains ``service -> ... -> version``, ``per_spec`` of a version if given, with the number left out."""
+    few = capped_per(paths.drop("rank"), ["source"], [F.col("hops"), F.col("path")], per_spec)
     label = lambda p: F.regexp_replace(F.regexp_replace(p, "^pkg:[^/]+/", ""), "^svc:", "")
     return few.select(
         "source", F.col("target").alias("service"), "hops",
-        F.array_join(F.transform(F.reverse("path"), label), " -> ").alias("chain"), "rank",
+        F.array_join(F.transform(F.reverse("path"), label), " -> ").alias("chain"), "omitted",
     )
 
 
@@ -295,10 +322,13 @@ def services(fleet) -> DataFrame:
     return fleet.workspace.join(held, "service", "left").select("service", "workspace", G.zero("n_packages"))
 
 
-def service_profile(fleet, service: str, limit: int = 20) -> DataFrame:
+def service_profile(fleet, service: str, limit: int | None = None) -> DataFrame:
+    """Threats that a service holds, beside how many packages it holds, how many directly, and how many threats are left out."""
     mine = fleet.resolved_in.filter(F.col("service") == service)
-    return mine.join(fleet.threat.drop("n_services"), "pv").withColumn("n_services", F.lit(1)).orderBy(*G.threat_order()).limit(limit).select(
-        "pv", "kind", "severity", "depth", "dev_only", "in_code"
+    held, direct = mine.agg(F.count("*")).scalar(), mine.agg(F.count_if(F.col("depth") == S.DIRECT_DEPTH)).scalar()
+    rows = mine.join(fleet.threat.drop("n_services"), "pv").withColumn("n_services", F.lit(1))
+    return capped(rows, G.threat_order(), limit).select(
+        "pv", "kind", "severity", "depth", "dev_only", "in_code", held.alias("n_packages"), direct.alias("n_direct"), "omitted"
     )
 
 
@@ -365,17 +395,25 @@ def attack_frontier(fleet, subjects: DataFrame) -> DataFrame:
     ).drop("h")
 
 
-def incident_dossier(fleet) -> DataFrame:
-    """Per incident, the size of every part of the answer."""
+def incident_dossier(fleet, squats: DataFrame) -> DataFrame:
+    """Per incident, the size of every part of the answer.
+
+    ``squats``: ``candidate, target``. ``n_identities`` are the accounts to look
+    after: the package's maintainers and the version's publisher, if that is no
+    service.
+    """
     subjects = fleet.incident.select("pv", "name").distinct()
-    wide = G.blast_radius(fleet, subjects, fleet.spark.createDataFrame([], "candidate string, target string"))
+    wide = G.blast_radius(fleet, subjects, squats)
+    accounts = subjects.join(fleet.maintained_by.select("name", F.col("maintainer").alias("who")), "name").select("pv", "who").unionByName(
+        subjects.select("pv").join(fleet.published_by, "pv").filter(~N.is_service_identity("publisher")).select("pv", F.col("publisher").alias("who"))
+    ).groupBy("pv").agg(F.count_distinct("who").alias("n_identities"))
     hot = fleet.heat.filter("hops > 0").groupBy(F.col("source").alias("pv")).agg(F.count("*").alias("n_hot"))
     ranges = G.range_vs_lock(fleet)
     return fleet.incident.select("incident_id", "pv").join(wide, "pv").join(ranges.select("pv", "range_only"), "pv", "left").join(
         hot, "pv", "left"
-    ).select(
-        "incident_id", "n_projects", G.zero("range_only"), "n_live", "n_advisories",
-        "n_shared_maintainer", G.zero("n_hot"),
+    ).join(accounts, "pv", "left").select(
+        "incident_id", "n_direct", "n_transitive", "n_entries", "n_projects", G.zero("range_only"), "n_live", "n_advisories",
+        "n_shared_maintainer", "n_typosquats", G.zero("n_identities"), G.zero("n_hot"),
     )
 
 

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplygraph.session import Scratch
+from supplygraph.session import KeyedTable, Scratch
 
 LIVE_FROM = 820454400  # 1996-01-01
 LIVE_UNTIL = 883612800  # 1998-01-01
@@ -37,6 +37,7 @@ class Fleet:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.scratch = Scratch(spark, "fleet")
+        self._by_key: dict[tuple[str, str], KeyedTable] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -44,6 +45,12 @@ class Fleet:
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return self.scratch.save(df, name)
 
+    def keyed(self, table: str, key: str) -> KeyedTable:
+        """One of the tables in the order of a key, for lookups."""
+        if (table, key) not in self._by_key:
+            self._by_key[table, key] = KeyedTable(self.scratch, getattr(self, table), key, table)
+        return self._by_key[table, key]
+
     # -- lockfiles -----------------------------------------------------------
 
     @cached_property

@@ -64,29 +64,40 @@ def squats(fleet):
     return fleet._squats
 
 
-_FINDINGS_SQL = """, flag AS (SELECT pv FROM incident UNION SELECT pv FROM affects), live AS (SELECT DISTINCT r.pv, r.service FROM resolved_in r JOIN incident i ON i.pv = r.pv WHERE first_seen > 0 AND first_seen <= live_until AND last_seen >= live_from),
-subj AS (SELECT DISTINCT name FROM flag JOIN package_version USING (pv)), l AS (SELECT DISTINCT maintainer, name, name IN (SELECT name FROM subj) AS s FROM maintained_by), t AS (SELECT maintainer, count(*) FILTER (s) AS n FROM l GROUP BY maintainer)
-SELECT pv AS subject, pv AS entity, 'PackageVersion' AS entity_type, 'DIRECTLY_COMPROMISED' AS status, 'DIRECTLY_COMPROMISED' AS atoms, 'CERTAIN' AS confidence, 0 AS n_negative FROM incident
-UNION ALL SELECT pv, pv, 'PackageVersion', 'VULNERABLE', 'KNOWN_VULNERABILITY', 'LOW', CASE WHEN pv IN (SELECT pv FROM incident) THEN 0 ELSE 1 END FROM (SELECT DISTINCT pv FROM affects)
-UNION ALL SELECT r.pv, r.service, 'Project', CASE WHEN depth = 1 THEN 'DIRECTLY_EXPOSED' ELSE 'TRANSITIVELY_EXPOSED' END,
-  'RESOLVES_COMPROMISED_VERSION' || CASE WHEN depth > 1 THEN '|TRANSITIVELY_EXPOSED' ELSE '' END || CASE WHEN live.pv IS NOT NULL THEN '|LIVE_WINDOW_OVERLAP' ELSE '' END, 'HIGH',
-  CASE WHEN dev_only THEN 1 ELSE 0 END + CASE WHEN live.pv IS NULL AND r.pv IN (SELECT pv FROM live) THEN 1 ELSE 0 END
+_SAID = {k: f"'{v}'" for k, v in G.NEGATIVE.items()}
+_FINDINGS_SQL = f""", flag AS (SELECT pv FROM incident UNION SELECT pv FROM affects), live AS (SELECT DISTINCT r.pv, r.service FROM resolved_in r JOIN incident i ON i.pv = r.pv WHERE first_seen > 0 AND first_seen <= live_until AND last_seen >= live_from),
+flagged AS (SELECT name, min(pv) AS pv FROM flag JOIN package_version USING (pv) GROUP BY name), l AS (SELECT DISTINCT maintainer, name FROM maintained_by),
+kin AS (SELECT l.maintainer, l.name, min(f.pv) AS subject FROM l JOIN l o ON o.maintainer = l.maintainer AND o.name <> l.name JOIN flagged f ON f.name = o.name GROUP BY l.maintainer, l.name),
+claim AS (
+SELECT pv AS subject, CAST(NULL AS VARCHAR) AS identity, pv AS entity, 'PackageVersion' AS entity_type, 'DIRECTLY_COMPROMISED' AS status, 'DIRECTLY_COMPROMISED' AS atoms, pv AS path, 'incident ' || min(incident_id) || ' names it' AS reason, '' AS negatives, 0 AS n_negative, 'CERTAIN' AS confidence FROM incident GROUP BY pv
+UNION ALL SELECT pv, NULL, pv, 'PackageVersion', 'VULNERABLE', 'KNOWN_VULNERABILITY', pv, array_to_string(list_sort(list(DISTINCT advisory_id))[1:3], '; '), CASE WHEN pv IN (SELECT pv FROM incident) THEN '' ELSE {_SAID['incident']} END, CASE WHEN pv IN (SELECT pv FROM incident) THEN 0 ELSE 1 END, 'LOW' FROM affects GROUP BY pv
+UNION ALL SELECT r.pv, NULL, r.service, 'Project', CASE WHEN depth = 1 THEN 'DIRECTLY_EXPOSED' ELSE 'TRANSITIVELY_EXPOSED' END,
+  'RESOLVES_COMPROMISED_VERSION' || CASE WHEN depth > 1 THEN '|TRANSITIVELY_EXPOSED' ELSE '' END || CASE WHEN live.pv IS NOT NULL THEN '|LIVE_WINDOW_OVERLAP' ELSE '' END,
+  r.service || CASE WHEN depth > 1 THEN ' > ' || via_direct ELSE '' END || ' > ' || r.pv, 'a lockfile resolves ' || r.pv || CASE WHEN depth > 1 THEN ' at depth ' || depth || ' via ' || via_direct ELSE '' END,
+  concat_ws('|', CASE WHEN dev_only THEN {_SAID['dev']} END, CASE WHEN live.pv IS NULL AND r.pv IN (SELECT pv FROM live) THEN {_SAID['window']} END),
+  CASE WHEN dev_only THEN 1 ELSE 0 END + CASE WHEN live.pv IS NULL AND r.pv IN (SELECT pv FROM live) THEN 1 ELSE 0 END, 'HIGH'
   FROM resolved_in r JOIN flag USING (pv) LEFT JOIN live ON live.pv = r.pv AND live.service = r.service
-UNION ALL SELECT 'maintainer ' || maintainer, name, 'Package', 'RELATED / INVESTIGATE', 'SHARED_MAINTAINER', 'INVESTIGATE', 3 FROM l JOIN t USING (maintainer) WHERE n > CASE WHEN s THEN 1 ELSE 0 END"""
+UNION ALL SELECT subject, 'maintainer ' || maintainer, name, 'Package', 'RELATED / INVESTIGATE', 'SHARED_MAINTAINER', name || ' > maintainer ' || maintainer || ' > ' || subject, 'maintainer ' || maintainer || ' also maintains the package of ' || subject,
+  {_SAID['named']} || '|' || {_SAID['held']} || '|' || {_SAID['alone']}, 3, 'INVESTIGATE' FROM kin) """
 
 
-@query("agg_findings", _FINDINGS_SQL)
+def finding_rows(found):
+    return found.select(
+        "subject", "identity", "entity", "entity_type", "status", F.array_join("atoms", "|").alias("atoms"), F.array_join("path", " > ").alias("path"), "reason",
+        F.array_join("negatives", "|").alias("negatives"), F.col("n_negative").cast("int").alias("n_negative"), "confidence",
+    )
+
+
+@query("agg_findings", _FINDINGS_SQL + "SELECT * FROM claim")
 def _(fleet):
     none = fleet.package.select(F.col("name").alias("candidate"), F.col("name").alias("target")).limit(0)
-    return G.findings(fleet, none).select(
-        "subject", "entity", "entity_type", "status", F.array_join("atoms", "|").alias("atoms"), "confidence", F.col("n_negative").cast("int").alias("n_negative")
-    )
+    return finding_rows(G.findings(fleet, none))
 
 
-@query("agg_findings_with_imitators", FOUND_SQL + _FINDINGS_SQL.lstrip() + """
-UNION ALL SELECT target, candidate, 'Package', 'RELATED / INVESTIGATE', 'TYPOSQUAT_NEIGHBOR', 'INVESTIGATE', 1 FROM found WHERE target IN (SELECT name FROM subj)""")
+@query("agg_findings_with_imitators", FOUND_SQL + _FINDINGS_SQL.lstrip() + f"""SELECT * FROM claim
+UNION ALL SELECT f.pv, NULL, candidate, 'Package', 'RELATED / INVESTIGATE', 'TYPOSQUAT_NEIGHBOR', candidate || ' > ' || target || ' > ' || f.pv, 'its name resembles ' || target, {_SAID['name']}, 1, 'INVESTIGATE' FROM (SELECT DISTINCT candidate, target FROM found) JOIN flagged f ON f.name = target""")
 def _(fleet):
-    return G.findings(fleet, squats(fleet)).withColumn("atoms", F.array_join("atoms", "|")).withColumn("n_negative", F.col("n_negative").cast("int"))
+    return finding_rows(G.findings(fleet, squats(fleet)))
 
 
 _WIDE_SQL = """, back AS (SELECT pv, pv AS node, 0 AS d FROM incident UNION SELECT b.pv, s.src, b.d + 1 FROM back b JOIN satisfied_by s ON s.dst = b.node WHERE b.d < 5),
@@ -133,7 +144,7 @@ def _(fleet):
 
 
 @query("agg_suggested_targets", _RANGE_SQL + """, r AS (SELECT rv.*, CAST(CASE WHEN i.pv IS NULL THEN 0 ELSE 1 END AS BIGINT) AS marked, coalesce(a.n, 0) AS n_advisories FROM rv LEFT JOIN incident i USING (pv) LEFT JOIN (SELECT pv, count(*) AS n FROM affects GROUP BY pv) a USING (pv))
-SELECT pv, marked, n_advisories, range_only, confirmed FROM r ORDER BY marked DESC, n_advisories DESC, range_only DESC, confirmed DESC, pv LIMIT 20""")
+SELECT pv, marked, n_advisories, range_only, confirmed FROM r""")
 def _(fleet):
     return G.suggested_targets(fleet)
 
@@ -317,9 +328,9 @@ def _(fleet):
     return W.capped(fleet.affects.select("pv", "severity", "advisory_id"), [F.col("severity"), F.col("pv"), F.col("advisory_id")], 25).drop("advisory_id")
 
 
-@query("srt_threat_list", f"SELECT pv, kind, severity, n_services, greatest((SELECT count(*) FROM threat WHERE in_code) - 40, 0) AS omitted FROM threat WHERE in_code ORDER BY {_ORDER_SQL} LIMIT 40")
+@query("srt_threat_list", f"SELECT pv, kind, severity, n_services, 0::BIGINT AS omitted FROM threat WHERE in_code")
 def _(fleet):
-    return W.threat_list(fleet.threat, only_reaching=True, limit=40).select("pv", "kind", "severity", "n_services", "omitted")
+    return W.threat_list(fleet.threat, only_reaching=True).select("pv", "kind", "severity", "n_services", "omitted")
 
 
 @query("srt_union_lookup", "SELECT pv, name, version FROM package_version WHERE pk IN (SELECT p_partkey FROM part WHERE p_size = 1)")
@@ -346,7 +357,7 @@ def _(fleet):
 
 @query("view_package_graph", """, kin0 AS (SELECT DISTINCT i.pv, m2.name AS node FROM incident i JOIN maintained_by m1 ON m1.name = i.name JOIN maintained_by m2 ON m2.maintainer = m1.maintainer AND m2.name <> i.name),
 n AS (SELECT a.pv, 'threat' AS layer, a.advisory_id AS node FROM affects a JOIN incident i ON i.pv = a.pv UNION SELECT pv, 'threat', incident_id FROM incident UNION SELECT pv, 'version', pv FROM incident
-  UNION (SELECT dst, 'range-admits', src FROM satisfied_by JOIN incident i ON i.pv = dst QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 30)
+  UNION (SELECT dst, 'range-admits', src FROM satisfied_by JOIN incident i ON i.pv = dst)
   UNION SELECT e.pv, 'resolution', 'lock:' || lock_id FROM entry e JOIN incident i ON i.pv = e.pv UNION SELECT r.pv, 'project', 'svc:' || lower(service) FROM resolved_in r JOIN incident i ON i.pv = r.pv
   UNION (SELECT pv, 'related', node FROM kin0 QUALIFY row_number() OVER (PARTITION BY pv ORDER BY node) <= 24))
 SELECT n.pv, layer, n.node, CASE WHEN n.node = n.pv THEN 1.0::DOUBLE ELSE h.heat END AS heat FROM n LEFT JOIN heat h ON h.node = n.node""")
@@ -356,7 +367,7 @@ def _(fleet):
 
 @query("view_package_graph_edges", """, kin0 AS (SELECT DISTINCT i.pv, m2.name AS node FROM incident i JOIN maintained_by m1 ON m1.name = i.name JOIN maintained_by m2 ON m2.maintainer = m1.maintainer AND m2.name <> i.name)
 SELECT a.pv, a.advisory_id AS src, a.pv AS dst, 'names' AS edge FROM affects a JOIN incident i ON i.pv = a.pv UNION SELECT pv, incident_id, pv, 'names' FROM incident
-UNION (SELECT dst, src, dst, 'admits' FROM satisfied_by JOIN incident i ON i.pv = dst QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 30)
+UNION (SELECT dst, src, dst, 'admits' FROM satisfied_by JOIN incident i ON i.pv = dst)
 UNION SELECT e.pv, e.pv, 'lock:' || lock_id, 'resolved_by' FROM entry e JOIN incident i ON i.pv = e.pv UNION SELECT e.pv, 'lock:' || lock_id, 'svc:' || lower(service), 'lockfile_of' FROM entry e JOIN incident i ON i.pv = e.pv
 UNION (SELECT pv, pv, node, 'shares_identity' FROM kin0 QUALIFY row_number() OVER (PARTITION BY pv ORDER BY node) <= 24)""")
 def _(fleet):
@@ -364,7 +375,7 @@ def _(fleet):
 
 
 _PROJECT_SQL = """, held AS (SELECT r.service, r.pv, r.depth, h.heat FROM resolved_in r LEFT JOIN heat h ON h.node = r.pv),
-pn AS (SELECT * FROM held WHERE heat IS NOT NULL UNION ALL (SELECT * FROM held WHERE heat IS NULL AND depth = 1 QUALIFY row_number() OVER (PARTITION BY service ORDER BY pv) <= 40)) """
+pn AS (SELECT * FROM held WHERE heat IS NOT NULL UNION ALL (SELECT * FROM held WHERE heat IS NULL AND depth = 1)) """
 
 
 @query("view_project_graph", _PROJECT_SQL + "SELECT service, pv, CAST(least(depth, 5) AS INT) AS layer, heat FROM pn")
@@ -380,12 +391,19 @@ def _(fleet):
 @query("view_micro_graph", """, w AS (SELECT fn, 0 AS depth FROM function WHERE fn NOT IN (SELECT dst FROM calls) UNION SELECT c.dst, w.depth + 1 FROM w JOIN calls c ON c.src = w.fn WHERE w.depth < 6), cd AS (SELECT fn, max(depth) AS depth FROM w GROUP BY fn),
 n AS (SELECT DISTINCT 'svc:' || lower(service) AS node, service, 'entry' AS layer, 0 AS "column" FROM function UNION ALL SELECT 'route:' || pattern, service, 'route', 0 FROM route
   UNION ALL SELECT 'fn:' || f.fn, service, CASE WHEN f.fn IN (SELECT fn FROM route) THEN 'handler' ELSE 'function' END, coalesce(cd.depth, 0) FROM function f LEFT JOIN cd USING (fn)
+  UNION ALL SELECT DISTINCT 'file:' || service || ':' || file, service, 'file', 0 FROM function
   UNION ALL SELECT DISTINCT 'import:' || service || ':' || specifier, service, 'import', 7 FROM external_import)
 SELECT n.node, service, layer, CAST("column" AS INT) AS "column", heat FROM n LEFT JOIN heat h ON h.node = n.node""")
 def _(fleet):
     return W.micro_graph(fleet, R.call_depth(fleet.function, fleet.calls, fleet.scratch))
 
 
+@query("view_micro_graph_edges", """SELECT 'svc:' || lower(service) AS src, 'file:' || service || ':' || file AS dst, 'holds' AS edge FROM function UNION SELECT 'file:' || service || ':' || file, 'fn:' || fn, 'contains' FROM function
+UNION SELECT 'route:' || pattern, 'fn:' || fn, 'handled_by' FROM route UNION SELECT 'fn:' || src, 'fn:' || dst, 'calls' FROM calls UNION SELECT 'fn:' || fn, 'import:' || service || ':' || specifier, 'uses' FROM calls_external""")
+def _(fleet):
+    return W.micro_graph_edges(fleet)
+
+
 def _whole(fleet):
     nodes = {
         "package_version": fleet.package_version.select(F.col("pv").alias("node")), "advisory": fleet.advisory.select(F.col("advisory_id").alias("node")),
@@ -399,12 +417,11 @@ def _whole(fleet):
 
 
 _FULL_SQL = """, n AS (SELECT 'package_version' AS label, pv AS node FROM package_version UNION SELECT 'advisory', advisory_id FROM advisory UNION SELECT 'incident', incident_id FROM incident UNION SELECT 'service', service FROM workspace),
-k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY label ORDER BY node) <= 2000),
 l AS (SELECT 'depends_on' AS edge, src, dst FROM depends_on UNION SELECT 'affects', advisory_id, pv FROM affects UNION SELECT 'resolved_in', pv, service FROM resolved_in UNION SELECT 'compromises', incident_id, pv FROM incident),
-s AS (SELECT * FROM l WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)) """
+s AS (SELECT * FROM l WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)) """
 
 
-@query("view_full_graph", _FULL_SQL + "SELECT label, node FROM k")
+@query("view_full_graph", _FULL_SQL + "SELECT label, node FROM n")
 def _(fleet):
     return _whole(fleet)[0]
 
@@ -414,7 +431,7 @@ def _(fleet):
     return _whole(fleet)[1]
 
 
-@query("view_full_graph_stats", _FULL_SQL + """SELECT label AS kind, count(*) AS n_total, (SELECT count(*) FROM k WHERE k.label = n.label) AS n_shown FROM n GROUP BY label
+@query("view_full_graph_stats", _FULL_SQL + """SELECT label AS kind, count(*) AS n_total, count(*) AS n_shown FROM n GROUP BY label
 UNION ALL SELECT edge, count(*), (SELECT count(*) FROM s WHERE s.edge = l.edge) FROM l GROUP BY edge""")
 def _(fleet):
     return _whole(fleet)[2]
@@ -489,7 +506,7 @@ def _(fleet):
     return W.services(fleet)
 
 
-@query("view_service_profile", f"""SELECT pv, kind, severity, depth, dev_only, in_code FROM (SELECT t.pv, kind, severity, CAST(depth AS INT) AS depth, dev_only, in_code, name, version, 1 AS n_services FROM resolved_in r JOIN threat t ON t.pv = r.pv WHERE service = 'NATION_3') ORDER BY {_ORDER_SQL} LIMIT 20""")
+@query("view_service_profile", f"""SELECT pv, kind, severity, depth, dev_only, in_code, (SELECT count(*) FROM resolved_in WHERE service = 'NATION_3') AS n_packages, (SELECT count(*) FROM resolved_in WHERE service = 'NATION_3' AND depth = 1) AS n_direct, 0::BIGINT AS omitted FROM (SELECT t.pv, kind, severity, CAST(depth AS INT) AS depth, dev_only, in_code, name, version, 1 AS n_services FROM resolved_in r JOIN threat t ON t.pv = r.pv WHERE service = 'NATION_3')""")
 def _(fleet):
     return W.service_profile(fleet, "NATION_3")
 
@@ -518,8 +535,7 @@ def _(fleet):
     return out.withColumn("n_incidents", F.col("n_incidents").cast("int")).withColumn("n_signals", F.col("n_signals").cast("int"))
 
 
-@query("view_publish_anomalies", _SIGNAL_SQL + """SELECT package, version, signal, CAST(CASE signal WHEN 'PUBLISHER_NOT_MAINTAINER' THEN 1 WHEN 'INSTALL_SCRIPT_ADDED' THEN 2 WHEN 'REPOSITORY_CHANGED' THEN 3 WHEN 'REPOSITORY_REMOVED' THEN 4 WHEN 'DORMANCY_BREAK' THEN 5 ELSE 6 END AS BIGINT) AS signal_rank
-FROM signal WHERE package IN (SELECT package FROM publish_event WHERE event_id % 10 < 5)""")
+@query("view_publish_anomalies", _SIGNAL_SQL + """SELECT package, version, signal, CAST(CASE signal WHEN 'PUBLISHER_NOT_MAINTAINER' THEN 1 WHEN 'INSTALL_SCRIPT_ADDED' THEN 2 WHEN 'REPOSITORY_CHANGED' THEN 3 WHEN 'REPOSITORY_REMOVED' THEN 4 WHEN 'DORMANCY_BREAK' THEN 5 ELSE 6 END AS BIGINT) AS signal_rank FROM signal""")
 def _(fleet):
     held = fleet.publish_event.select("package")
     return W.publish_anomalies(all_signals(fleet), held).select("package", "version", "signal", "signal_rank")
@@ -530,11 +546,13 @@ def _(fleet):
     return W.attack_frontier(fleet, fleet.incident)
 
 
-@query("view_incident_dossier", _WIDE_SQL + """, claim AS (SELECT pv AS node, pv AS source, b, 0 AS hops FROM worst JOIN base USING (severity) UNION SELECT e.dst, c.source, c.b, c.hops + 1 FROM claim c JOIN heat_edge e ON e.src = c.node WHERE c.hops < 6 AND c.b - 0.14 * (c.hops + 1) >= 0.05),
-top AS (SELECT node, arg_max(source, (round(b - 0.14 * hops, 4), -hops, CASE b WHEN 0.45 THEN 'low' WHEN 0.55 THEN 'unknown' WHEN 0.65 THEN 'moderate' WHEN 0.85 THEN 'high' ELSE 'critical' END, source)) AS source, arg_max(hops, (round(b - 0.14 * hops, 4), -hops)) AS hops FROM claim GROUP BY node)
-SELECT incident_id, n_projects, (SELECT count(DISTINCT src) FROM satisfied_by s WHERE s.dst = w.pv) AS range_only, n_live, n_advisories, n_shared_maintainer, (SELECT count(*) FROM top WHERE source = w.pv AND hops > 0) AS n_hot FROM wide w""")
+@query("view_incident_dossier", FOUND_SQL + _WIDE_SQL.lstrip() + """, claim AS (SELECT pv AS node, pv AS source, b, 0 AS hops FROM worst JOIN base USING (severity) UNION SELECT e.dst, c.source, c.b, c.hops + 1 FROM claim c JOIN heat_edge e ON e.src = c.node WHERE c.hops < 6 AND c.b - 0.14 * (c.hops + 1) >= 0.05),
+hottest AS (SELECT node, arg_max(source, (round(b - 0.14 * hops, 4), -hops, CASE b WHEN 0.45 THEN 'low' WHEN 0.55 THEN 'unknown' WHEN 0.65 THEN 'moderate' WHEN 0.85 THEN 'high' ELSE 'critical' END, source)) AS source, arg_max(hops, (round(b - 0.14 * hops, 4), -hops)) AS hops FROM claim GROUP BY node)
+SELECT incident_id, n_direct, n_transitive, n_entries, (SELECT count(*) FROM found WHERE target = w.name) AS n_typosquats,
+(SELECT count(DISTINCT who) FROM (SELECT maintainer AS who FROM maintained_by m WHERE m.name = w.name UNION SELECT publisher FROM published_by p WHERE p.pv = w.pv AND publisher <> 'github actions')) AS n_identities,
+n_projects, (SELECT count(DISTINCT src) FROM satisfied_by s WHERE s.dst = w.pv) AS range_only, n_live, n_advisories, n_shared_maintainer, (SELECT count(*) FROM hottest WHERE source = w.pv AND hops > 0) AS n_hot FROM wide w""")
 def _(fleet):
-    return W.incident_dossier(fleet)
+    return W.incident_dossier(fleet, squats(fleet).select("candidate", "target"))
 
 
 # -- text audits --------------------------------------------------------------------------------------------

@@ -119,7 +119,7 @@ def _(fleet):
     )
 
 
-@query("edge_requires", "SELECT src, dst_name, range FROM requires WHERE dst_pk % 7 <> 0")
+@query("edge_requires", "SELECT src, dst_name, range FROM requires")
 def _(fleet):
     return B.requires(fleet.requires.select("src", "dst_name", "range"), fleet.package).select("src", "dst_name", "range")
 
@@ -190,9 +190,8 @@ def _(fleet):
     return B.import_bridge(fleet.external_import, fleet.lock_root, fleet.entry)
 
 
-@query("universe_materialise", """SELECT name, version FROM (SELECT name, version FROM package_version WHERE major <= 3
-UNION SELECT name, '9.9.9' FROM advisory WHERE pk % 2 = 0
-UNION SELECT name, version FROM package_version QUALIFY row_number() OVER (PARTITION BY name ORDER BY major DESC, version DESC) <= 3)""")
+@query("universe_materialise", """SELECT name, version FROM package_version
+UNION SELECT name, '9.9.9' FROM advisory WHERE pk % 2 = 0""")
 def _(fleet):
     advised = fleet.advisory.select("name", F.lit("9.9.9").alias("version"), F.when(F.col("pk") % 2 == 0, "npm").otherwise("PyPI").alias("ecosystem"))
     return B.universe(fleet.package_version, advised, fleet.package_version)
@@ -375,8 +374,7 @@ def _(fleet):
     return W.scope_filter(fleet.resolved_in, fleet.workspace, "ASIA").select("pv", "service", "depth", "dev_only")
 
 
-@query("workspace_collisions", """SELECT lower(n_name) AS service, count(DISTINCT c_mktsegment) AS n_workspaces FROM customer JOIN nation ON n_nationkey = c_nationkey
-WHERE c_acctbal > 9500 GROUP BY lower(n_name) HAVING count(DISTINCT c_mktsegment) > 1""", domain=False)
+@query("workspace_collisions", """SELECT lower(n_name) AS service, count(DISTINCT c_mktsegment) AS n_workspaces FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY lower(n_name) HAVING count(DISTINCT c_mktsegment) > 1""", domain=False)
 def _(fleet):
     c, n = fleet.table("customer"), fleet.table("nation")
     claims = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_mktsegment").alias("workspace"), F.col("n_name").alias("service"))
@@ -388,8 +386,8 @@ def _(fleet):
 
 @query("q_exact_lookup", "SELECT pv, name, version, published_at FROM package_version WHERE pv = (SELECT min(pv) FROM package_version)")
 def _(fleet):
-    first = fleet.package_version.agg(F.min("pv")).scalar()
-    return fleet.package_version.filter(F.col("pv") == first).select("pv", "name", "version", "published_at")
+    versions = fleet.keyed("package_version", "pv")
+    return R.exact_lookup(versions, versions.least()).select("pv", "name", "version", "published_at")
 
 
 @query("q_held_versions", "SELECT pv, name, version FROM package_version WHERE pk IN (0, 1, 2)")
@@ -470,7 +468,7 @@ def _(fleet):
 
 
 _PATH_SQL = """, up AS (SELECT dst AS src, src AS dst FROM depends_on UNION SELECT pv, 'svc:' || lower(service) FROM lock_root),
-p AS (SELECT pv AS source, pv AS node, [pv] AS path, 0 AS hops FROM (SELECT DISTINCT pv FROM affects WHERE pk % 4 = 0)
+p AS (SELECT pv AS source, pv AS node, [pv] AS path, 0 AS hops FROM (SELECT DISTINCT pv FROM affects)
   UNION ALL SELECT p.source, u.dst, list_append(p.path, u.dst), p.hops + 1 FROM p JOIN up u ON u.src = p.node WHERE NOT list_contains(p.path, u.dst) AND p.hops < 10) """
 
 
@@ -499,7 +497,7 @@ def _(fleet):
 
 @query("view_dependency_path", _PATH_SQL + """, k AS (SELECT source, node, hops, path FROM p WHERE node LIKE 'svc:%' QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY hops, path) <= 3)
 SELECT source, node AS service, CAST(hops AS INT) AS hops, array_to_string(list_transform(list_reverse(path), lambda x: regexp_replace(regexp_replace(x, '^pkg:[^/]+/', ''), '^svc:', '')), ' -> ') AS chain
-FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY hops, path) <= 6""")
+FROM k""")
 def _(fleet):
     return W.dependency_path(many_paths(fleet)).select("source", "service", "hops", "chain")
 
@@ -508,7 +506,7 @@ _EXPOSURE_SQL = """, p AS (SELECT pv, pv AS node, [pv] AS path, 0 AS depth FROM
   UNION ALL SELECT p.pv, d.src, list_append(p.path, d.src), p.depth + 1 FROM p JOIN depends_on d ON d.dst = p.node WHERE p.depth < 8) """
 
 
-@query("q_exposure_paths", _EXPOSURE_SQL + """SELECT pv, node, CAST(min(depth) AS INT) AS depth, array_to_string(arg_min(path, (depth, path)), ' ') AS path FROM p GROUP BY pv, node HAVING min(depth) > 0""")
+@query("q_exposure_paths", _EXPOSURE_SQL + """SELECT pv, node, CAST(min(depth) AS INT) AS depth, array_to_string(arg_min(path, (depth, list_reverse(path))), ' ') AS path FROM p GROUP BY pv, node HAVING min(depth) > 0""")
 def _(fleet):
     found = R.exposure_paths(fleet.affects.select("pv").distinct(), fleet.depends_on, fleet.scratch)
     return found.select("pv", "node", "depth", F.array_join("path", " ").alias("path"))

@@ -44,8 +44,8 @@ published_by AS (SELECT pv, name, CASE WHEN min(supp) % 10 = 0 THEN 'github acti
 sourced_from AS (SELECT v.pv, v.name, 'repo:github.com/' || lower(replace(p_brand, '#', '')) || '/' || lower(p_type) AS repo FROM package_version v JOIN part ON p_partkey = v.pk),
 function AS (SELECT c_custkey AS fn, n_name AS service, 'src/' || lower(c_mktsegment) || '.ts' AS file, c_custkey % 500 AS line FROM customer JOIN nation ON n_nationkey = c_custkey % 25),
 calls AS (SELECT a.fn AS src, b.fn AS dst FROM function a JOIN function b ON b.fn IN (a.fn + 25, a.fn + 75)),
-external_import AS (SELECT DISTINCT service, name AS specifier, pk FROM entry WHERE pk % 20 = 0),
-calls_external AS (SELECT DISTINCT cust AS fn, service, name AS specifier FROM entry WHERE pk % 20 = 0),
+external_import AS (SELECT DISTINCT service, name AS specifier, pk FROM entry),
+calls_external AS (SELECT DISTINCT cust AS fn, service, name AS specifier FROM entry),
 route AS (SELECT c_custkey AS fn, 'POST' AS method, '/c/' || c_custkey AS pattern, service FROM customer JOIN function ON fn = c_custkey WHERE c_acctbal > 9000),
 artifact AS (SELECT n_name AS service, CASE s_suppkey % 3 WHEN 0 THEN '.claude/hooks/' WHEN 1 THEN '.vscode/' ELSE '.github/workflows/' END || s_suppkey || '.js' AS path,
   CASE WHEN s_suppkey % 7 = 0 THEN 'ioc-path' WHEN s_suppkey % 5 = 0 THEN 'ioc-content' ELSE 'watched-dir' END AS kind, s_suppkey * 1000 AS first_seen
@@ -95,7 +95,8 @@ heat_edge AS (
   SELECT dst AS src, src AS dst FROM depends_on UNION SELECT pv, 'svc:' || lower(service) FROM lock_root
   UNION SELECT pv, 'import:' || service || ':' || specifier FROM bridge WHERE pv IS NOT NULL
   UNION SELECT 'import:' || service || ':' || specifier, 'fn:' || fn FROM calls_external
-  UNION SELECT 'fn:' || dst, 'fn:' || src FROM calls UNION SELECT 'fn:' || fn, 'route:' || pattern FROM route),
+  UNION SELECT 'fn:' || dst, 'fn:' || src FROM calls UNION SELECT 'fn:' || fn, 'route:' || pattern FROM route
+  UNION SELECT 'fn:' || fn, 'file:' || service || ':' || file FROM function),
 glow AS (
   SELECT pv AS node, b, severity, 0 AS hops FROM worst JOIN base USING (severity)
   UNION SELECT e.dst, g.b, g.severity, g.hops + 1 FROM glow g JOIN heat_edge e ON e.src = g.node WHERE g.hops < 6 AND g.b - 0.14 * (g.hops + 1) >= 0.05),

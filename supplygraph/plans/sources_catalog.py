@@ -331,7 +331,7 @@ def _(fleet):
 
 
 @query("sink_exposure_csv", """, p AS (SELECT pv, pv AS node, [pv] AS path, 0 AS depth FROM (SELECT DISTINCT pv FROM affects) UNION ALL SELECT p.pv, d.src, list_append(p.path, d.src), p.depth + 1 FROM p JOIN depends_on d ON d.dst = p.node WHERE p.depth < 8)
-SELECT pv AS vulnerable, node AS exposed, CAST(min(depth) AS VARCHAR) AS depth, array_to_string(arg_min(path, (depth, path)), ' -> ') AS path FROM p GROUP BY pv, node HAVING min(depth) > 0""")
+SELECT pv AS vulnerable, node AS exposed, CAST(min(depth) AS VARCHAR) AS depth, array_to_string(arg_min(path, (depth, list_reverse(path))), ' -> ') AS path FROM p GROUP BY pv, node HAVING min(depth) > 0""")
 def _(fleet):
     path = fleet.scratch.path("exposure")
     rows = K.exposure_csv(R.exposure_paths(fleet.affects.select("pv").distinct(), fleet.depends_on, fleet.scratch))
@@ -418,19 +418,43 @@ def _(fleet):
     resolved = fleet.resolved_in.join(fleet.package_version.select("pv", F.col("name").alias("package")), "pv")
     sizes = fleet.maintained_by.groupBy("maintainer").agg((F.count_distinct("name") - 1).alias("n"))
     near = fleet.maintained_by.select(F.col("name").alias("package"), "maintainer").distinct().join(sizes, "maintainer").groupBy("package").agg(F.sum("n").alias("n_frontier"))
-    return L.enrich(_alerts(fleet), resolved, near).select("package", "n_services", "n_frontier")
-
-
-@query("st_correlated_burst", """, g AS (SELECT e.publisher AS identity, e.package, e.event_id, (published_at // 3600 - unnest(range(0, 12))) * 3600 AS s FROM publish_event e)
-SELECT identity, s AS started_at, s + 43200 AS ended_at, count(DISTINCT package) AS n_packages, count(*) AS n_artifacts FROM g GROUP BY identity, s HAVING count(DISTINCT package) >= 3""")
-def _(fleet):
+    alerts, out = _alerts(fleet), fleet.scratch.path("enriched")
+    path = fleet.scratch.path("hits")
+    alerts.write.parquet(path)
+    stream = fleet.spark.readStream.schema(alerts.schema).parquet(path)
+    once = L.enrich_each(stream, resolved, near, out)
+    stream.writeStream.foreachBatch(once).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return L.enriched(fleet.spark, out, "package string, n_services long, n_frontier long")[0]
+
+
+def _bursts(fleet):
+    if hasattr(fleet, "_bursts"):
+        return fleet._bursts
+    beat_schema = "publisher STRING, package STRING, repository STRING, published_at BIGINT"
     path = fleet.scratch.path("timed")
-    fleet.publish_event.select("publisher", "package", "published_at").write.parquet(path)
+    fleet.publish_event.select("publisher", "package", "repository", "published_at").write.parquet(path)
     # a heartbeat a week later closes the last windows
-    beat = fleet.publish_event.agg((F.max("published_at") + 7 * 86400).alias("published_at")).select(F.lit("").alias("publisher"), F.lit("").alias("package"), "published_at")
+    beat = fleet.publish_event.agg((F.max("published_at") + 7 * 86400).alias("published_at")).select(F.lit("").alias("publisher"), F.lit("").alias("package"), F.lit(None).cast("string").alias("repository"), "published_at")
     beat.write.mode("append").parquet(path)
-    stream = fleet.spark.readStream.schema("publisher STRING, package STRING, published_at BIGINT").parquet(path)
-    return L.run_available(L.correlated_bursts(stream, "12 hours", "1 hour"), fleet.scratch.path("bursts"), "bursts")
+    stream = fleet.spark.readStream.schema(beat_schema).parquet(path)
+    fleet._bursts = L.run_available(L.correlated_bursts(stream, "12 hours", "1 hour"), fleet.scratch.path("bursts"), "bursts")
+    return fleet._bursts
+
+
+_BURST_SQL = """, g AS (SELECT e.publisher AS identity, e.package, e.event_id, e.published_at, e.repository, (published_at // 3600 - unnest(range(0, 12))) * 3600 AS s FROM publish_event e),
+w AS (SELECT identity, s AS started_at, s + 43200 AS ended_at, count(DISTINCT package) AS n_packages, count(*) AS n_artifacts, min(published_at) AS first_at, max(published_at) AS last_at, max(published_at) - min(published_at) AS span_seconds,
+CASE WHEN count(DISTINCT repository) = 1 OR (count(DISTINCT CASE WHEN package LIKE '@%' THEN split_part(package, '/', 1) ELSE '' END) = 1 AND max(package) LIKE '@%') THEN 'release' ELSE 'spread' END AS verdict
+FROM g GROUP BY identity, s HAVING count(DISTINCT package) >= 3) """
+
+
+@query("st_correlated_burst", _BURST_SQL + "SELECT * FROM w")
+def _(fleet):
+    return _bursts(fleet)
+
+
+@query("st_best_burst", _BURST_SQL + "SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY identity ORDER BY n_packages DESC, n_artifacts DESC, span_seconds, started_at) = 1")
+def _(fleet):
+    return L.best_bursts(_bursts(fleet))
 
 
 @query("st_recent_alerts", _ALERT_SQL + "SELECT package, version, published_at AS seen_at FROM al WHERE in_fleet ORDER BY seen_at DESC, package, version LIMIT 500")
@@ -441,5 +465,15 @@ def _(fleet):
 @query("st_counters", _ALERT_SQL + f"""SELECT (SELECT 2 * count(*) FROM publish_event) AS changes, (SELECT count(*) FROM publish_event WHERE published_at >= {_NOW - _FRESH}) AS publishes, count(*) FILTER (signals <> '') AS alerts, count(*) FILTER (in_fleet) AS fleet_hits,
 (SELECT 2 * count(*) FROM publish_event) - (SELECT count(*) FROM publish_event WHERE published_at >= {_NOW - _FRESH}) AS skipped FROM al""")
 def _(fleet):
-    changes = fleet.publish_event.unionByName(fleet.publish_event)
-    return L.counters(changes, L.publish_events(changes, _NOW, _FRESH), _alerts(fleet))
+    """Read from the progress of two running queries: the publishes and the alerts."""
+    seen = L.FeedCounters()
+    changes = L.counted(_feed_folder(fleet), "changes", changes=F.count(F.lit(1)))
+    fresh = L.counted(L.publish_events(changes, _NOW, _FRESH), "publishes", publishes=F.count(F.lit(1)))
+    L.run_available(fresh.select("package", "version"), fleet.scratch.path("counted"), "publishes", counters=seen)
+    alerts = _alerts(fleet)
+    path = fleet.scratch.path("told")
+    alerts.write.parquet(path)
+    told = L.alert_counters(fleet.spark.readStream.schema(alerts.schema).parquet(path))
+    L.run_available(told.select("package"), fleet.scratch.path("counted"), "alerts", counters=seen)
+    seen.totals["skipped"] = seen.totals["changes"] - seen.totals["publishes"]
+    return seen.frame(fleet.spark, ["changes", "publishes", "alerts", "fleet_hits", "skipped"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -84,11 +85,29 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
+    def forget(self, path: str) -> None:
+        """Deletes a written table that nothing reads any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+#: Rows from which on the known rows of a loop are kept bucketed by their key.
+BUCKETED_FROM = 5_000_000
+
+
 class GrowingTable:
-    """An append-only written table: the ``seen`` side of a fixpoint loop."""
+    """An append-only written table: the ``seen`` side of a fixpoint loop.
+
+    Each round is a folder. With ``keys``, once there are more than
+    ``BUCKETED_FROM`` rows, all of them are one table bucketed by the keys as
+    well: a join on the keys then reads the known rows where they lie and
+    shuffles the new ones alone. (Below, a shuffle costs less than the buckets.)
+    """
 
-    def __init__(self, scratch: Scratch, name: str):
-        self.scratch, self.name, self.paths, self.schema = scratch, name, [], None
+    def __init__(self, scratch: Scratch, name: str, keys: Sequence[str] = ()):
+        self.scratch, self.name, self.keys, self.paths, self.schema = scratch, name, list(keys), [], None
+        self.rows, self.table = 0, None
 
     def append(self, df: DataFrame) -> tuple[DataFrame, int]:
         """The rows just added, read back, and how many they are."""
@@ -96,7 +115,55 @@ class GrowingTable:
         self.schema = self.schema or df.schema
         if n or not self.paths:
             self.paths.append(self.scratch.last)
+            self.rows += n
+            if self.table:
+                self._bucket(added)
+            elif self.keys and self.rows > BUCKETED_FROM:
+                everything = self.read()
+                self.table = f"{self.name}_{uuid.uuid4().hex}"
+                self._bucket(everything)
         return added, n
 
+    def _bucket(self, added: DataFrame) -> None:
+        """One file a bucket and round."""
+        spark = self.scratch.spark
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = added.repartition(buckets, *self.keys)
+        dealt.write.mode("append").format("parquet").bucketBy(buckets, *self.keys).option("path", f"{self.scratch.root}/{self.table}").saveAsTable(self.table)
+
     def read(self) -> DataFrame:
+        if self.table:
+            return self.scratch.spark.read.table(self.table)
         return self.scratch.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+class KeyedTable:
+    """A table in the order of a key: one folder for each stretch of keys, and the bounds of the stretches.
+
+    A lookup finds the stretches by their bounds and reads those folders alone,
+    so it costs the same however large the table is. Rows of one key lie in one
+    stretch; a null key is never found.
+    """
+
+    def __init__(self, scratch: Scratch, df: DataFrame, key: str, name: str, pieces: int | None = None):
+        self.spark, self.key, self.path = scratch.spark, key, scratch.path(f"{name}-by-{key}")
+        pieces = pieces or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartitionByRange(pieces, key).withColumn("_piece", F.spark_partition_id()).sortWithinPartitions("_piece", key)
+        dealt.write.partitionBy("_piece").parquet(self.path)
+        self.schema = df.schema
+        bounds = self.spark.read.parquet(self.path).groupBy("_piece").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        self.bounds = scratch.save(bounds.filter("low IS NOT NULL"), "bounds")
+
+    def least(self):
+        """The least key, None if there is none."""
+        return self.bounds.agg(F.min("low")).first()[0]
+
+    def lookup(self, *values) -> DataFrame:
+        """The rows of these keys."""
+        meets = F.lit(False)
+        for v in values:
+            meets = meets | ((F.col("low") <= F.lit(v)) & (F.col("high") >= F.lit(v)))
+        paths = [f"{self.path}/_piece={r[0]}" for r in self.bounds.filter(meets).select("_piece").collect()]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths).filter(F.col(self.key).isin(*values))

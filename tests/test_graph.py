@@ -3,10 +3,12 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
+from supplygraph import session
 from supplygraph.operators import advisories as A
 from supplygraph.operators import build as B
+from supplygraph.operators import findings as G
 from supplygraph.operators import reach as R
-from supplygraph.operators.fixpoint import components, reach, shortest_paths
+from supplygraph.operators.fixpoint import components, reach, rendered, shortest_paths, strong_components, witness_forest
 
 
 def walk(roots, edges):
@@ -203,3 +205,147 @@ def test_a_hot_node_is_not_pinned_to_one_partition(spark, scratch):
     seeds = spark.createDataFrame([("hub", "hub")], "pv string, node string")
     assert reach(seeds, edges, ["pv"], scratch).count() == 1_001
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_best_paths_through_a_dense_layered_graph_stay_bounded(spark, scratch):
+    """3 of 50 ** 8 paths for each pair, from rows bounded by nodes, targets and paths asked for."""
+    layers, wide = 10, 50
+    name = "concat('n', {}, '-', lpad({}, 2, '0'))"
+    edges = spark.range(layers - 1).withColumnRenamed("id", "l").crossJoin(spark.range(wide).withColumnRenamed("id", "a")).crossJoin(
+        spark.range(wide).withColumnRenamed("id", "b")).selectExpr(f"{name.format('l', 'a')} AS src", f"{name.format('l + 1', 'b')} AS dst")
+    first = spark.range(wide).selectExpr(f"{name.format(0, 'id')} AS source")
+    last = spark.range(wide).selectExpr(f"{name.format(layers - 1, 'id')} AS node")
+    got = shortest_paths(first, edges, last, scratch, 10, 3).collect()
+    assert len(got) == wide * wide * 3
+    best = {tuple(r.path) for r in got if (r.source, r.target) == ("n0-00", "n9-07")}
+    assert best == {("n0-00", *[f"n{k}-00" for k in range(1, 8)], f"n8-0{j}", "n9-07") for j in range(3)}
+    assert spark.read.parquet(f"{scratch.root}/*-ways").count() <= layers * wide * wide * 4
+
+
+def test_best_paths_where_the_best_ways_turn_back(spark, scratch):
+    """The k best ways of a node all pass the source, so more have to be kept for the targets concerned."""
+    edges = [("s", "w"), ("w", "z")] + [("z", f"z{i}") for i in range(2)] + [(f"z{i}", "t") for i in range(2)]
+    edges += [("w", f"a{i}") for i in range(6)] + [(f"a{i}", "s") for i in range(6)] + [("s", "q"), ("q", "t")]
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    got = shortest_paths(spark.createDataFrame([("s",)], "source string"), frame, spark.createDataFrame([("t",)], "node string"), scratch, 8, 2)
+    assert sorted(tuple(r.path) for r in got.collect()) == [("s", "q", "t"), ("s", "w", "z", "z0", "t")]
+
+
+def test_best_paths_over_random_cyclic_graphs(spark, scratch):
+    for seed in (1,):
+        rng = random.Random(seed)
+        edges = sorted({(f"v{rng.randrange(8)}", f"v{rng.randrange(8)}") for _ in range(26)} | {(f"v{rng.randrange(8)}", f"t{rng.randrange(2)}") for _ in range(4)})
+        edges = [(a, b) for a, b in edges if a != b]
+        best = {}
+
+        def grow(path):
+            if path[-1].startswith("t"):
+                best.setdefault((path[0], path[-1]), []).append(tuple(path))
+            elif len(path) <= 5:
+                for a, b in edges:
+                    if a == path[-1] and b not in path:
+                        grow([*path, b])
+
+        for s in ("v0", "v1", "v2"):
+            grow([s])
+        frame = spark.createDataFrame(edges, "src string, dst string")
+        sources, ends = spark.createDataFrame([("v0",), ("v1",), ("v2",)], "source string"), spark.createDataFrame([("t0",), ("t1",)], "node string")
+        order = lambda p: (len(p), p)
+        got = shortest_paths(sources, frame, ends, scratch, 5, 2).collect()
+        assert sorted(tuple(r.path) for r in got) == sorted(p for ps in best.values() for p in sorted(ps, key=order)[:2])
+        got = shortest_paths(sources, frame, ends, scratch, 5, 3, any_target=True).collect()
+        whole = {}
+        for (s, _), ps in best.items():
+            whole.setdefault(s, []).extend(ps)
+        assert sorted(tuple(r.path) for r in got) == sorted(p for ps in whole.values() for p in sorted(ps, key=order)[:3])
+
+
+def test_forest_paths_are_shortest_and_hold_the_least_predecessors(spark, scratch):
+    rng = random.Random(6)
+    edges = sorted({(f"v{rng.randrange(14):02d}", f"v{rng.randrange(14):02d}") for _ in range(30)})
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    seeds = spark.createDataFrame([(f"v{i:02d}", f"v{i:02d}") for i in range(4)], "pv string, node string")
+    forest = witness_forest(seeds, frame, scratch)
+    assert not any(t.startswith("array") for _, t in forest.dtypes)
+    want = {}
+    for s in (f"v{i:02d}" for i in range(4)):
+        level, paths = {s: (s,)}, {s: (s,)}
+        while level:
+            step = {}
+            for node, path in sorted(level.items()):
+                for a, b in edges:
+                    if a == node and b not in paths and b not in step:
+                        step[b] = (*path, b)
+            paths.update(step)
+            level = step
+        want.update({(s, n): p for n, p in paths.items()})
+    assert {(r.pv, r.node): tuple(r.path) for r in rendered(forest, scratch).collect()} == want
+    some = spark.createDataFrame([k for k in sorted(want)[::3]], "pv string, node string")
+    assert {(r.pv, r.node): tuple(r.path) for r in rendered(forest, scratch, some).collect()} == {k: want[k] for k in sorted(want)[::3]}
+
+
+def test_paths_of_a_long_chain_take_few_rounds(spark, scratch):
+    n = 2_000
+    forest = spark.range(n).selectExpr("'p' AS pv", "concat('v', id) AS node", "cast(id as int) AS depth", "IF(id = 0, null, concat('v', id - 1)) AS pred")
+    got = rendered(forest, scratch, None).filter("depth = 1999 or depth = 700").collect()
+    assert {r.depth: r.path for r in got} == {d: [f"v{i}" for i in range(d + 1)] for d in (700, 1999)}
+
+
+def test_strong_components_over_random_cyclic_graphs(spark, scratch):
+    for seed, (nodes, links) in enumerate([(30, 45)]):
+        rng = random.Random(seed)
+        edges = sorted({(f"v{rng.randrange(nodes):02d}", f"v{rng.randrange(nodes):02d}") for _ in range(links)})
+        seen = {}
+        for s in {x for e in edges for x in e}:
+            todo, mine = [s], {s}
+            while todo:
+                node = todo.pop()
+                for a, b in edges:
+                    if a == node and b not in mine:
+                        mine.add(b)
+                        todo.append(b)
+            seen[s] = mine
+        want = {s: min(t for t in mine if s in seen[t]) for s, mine in seen.items()}
+        got = strong_components(spark.createDataFrame(edges, "src string, dst string"), scratch)
+        assert {r.node: r.root for r in got.collect()} == want
+
+
+def test_known_rows_of_a_loop_do_not_move(spark, scratch, monkeypatch):
+    """Many known rows are one bucketed table, which the anti join of a round reads where it lies."""
+    monkeypatch.setattr(session, "BUCKETED_FROM", 150)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = lambda a, b: spark.range(a, b).selectExpr("concat('p', id % 3) AS pv", "id AS node")
+    try:
+        seen = session.GrowingTable(scratch, "plan", ["pv", "node"])
+        seen.append(rows(0, 100))
+        assert seen.table is None
+        seen.append(rows(100, 200))
+        seen.append(rows(200, 250))
+        fresh = rows(150, 300).join(seen.read(), ["pv", "node"], "left_anti")
+        text = fresh._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text
+        assert sorted(r.node for r in fresh.collect()) == list(range(250, 300)) and seen.read().count() == 250
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_loop_over_bucketed_state_gives_the_same(spark, scratch, monkeypatch):
+    monkeypatch.setattr(session, "BUCKETED_FROM", 3)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", "a"), ("c", "c")], "pv string, node string")
+    assert sorted(map(tuple, reach(seeds, edges, ["pv"], scratch).collect())) == [
+        ("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("c", "a", 2), ("c", "b", 3), ("c", "c", 0), ("c", "d", 1)]
+
+
+def test_functions_are_counted_by_sets_of_imports(spark):
+    loads = [(pv, "s", i) for pv, imports in {"a": "xy", "b": "xy", "c": "x", "d": "yz", "e": "zy"}.items() for i in imports]
+    calls = [(1, "s", "x"), (2, "s", "x"), (2, "s", "y"), (3, "s", "z"), (4, "t", "x")]
+    got = G.function_counts(spark.createDataFrame(loads, "pv string, service string, specifier string"), spark.createDataFrame(calls, "fn long, service string, specifier string"))
+    assert {r.pv: r.function_count for r in got.collect()} == {"a": 2, "b": 2, "c": 2, "d": 2, "e": 2}
+
+
+def test_a_member_is_told_another_package_as_witness(spark, rows):
+    flagged = spark.createDataFrame([("a@2", "a"), ("a@1", "a"), ("b@1", "b")], "pv string, name string")
+    links = spark.createDataFrame([("m", "a"), ("m", "b"), ("m", "c"), ("n", "a"), ("n", "a"), ("o", "c")], "maintainer string, name string")
+    assert rows(G.witnesses(flagged, links, "maintainer")) == [("m", "a", "b@1"), ("m", "b", "a@1"), ("m", "c", "a@1")]

@@ -10,7 +10,7 @@ from supplygraph.operators.fixpoint import top_k
 from supplygraph.operators import views as W
 from supplygraph.plans import catalog
 from supplygraph.plans.domain import Fleet
-from supplygraph.session import shared_dir
+from supplygraph.session import KeyedTable, shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +121,19 @@ def test_full_graph_is_full_without_a_cap(spark):
     assert len(kept) == 2_000 and not links and {tuple(r) for r in stats} == {("p", 2_500, 2_000), ("e", 2_500, 0)}
     fleet = Fleet.of(spark, SF)
     assert catalog.QUERIES["view_full_graph"](spark, SF).where("label = 'package_version'").count() == fleet.package_version.count()
+
+
+def test_a_pinned_lookup_opens_one_file_at_any_size(spark, scratch):
+    for n in (1_000, 20_000):
+        table = KeyedTable(scratch, spark.range(n).selectExpr("concat('k', lpad(id, 6, '0')) AS k", "id"), "k", "t", pieces=16)
+        got = table.lookup("k000421")
+        assert [r.id for r in got.collect()] == [421] and len(got.inputFiles()) == 1
+        assert table.least() == "k000000" and table.lookup("absent", "zz").count() == 0
+        assert sorted(r.id for r in table.lookup("k000001", "k000999").collect()) == [1, 999]
+
+
+def test_keyed_tables_keep_hot_and_null_keys(spark, scratch):
+    df = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN null ELSE concat('k', id) END AS k", "id")
+    table = KeyedTable(scratch, df, "k", "t", pieces=8)
+    assert table.lookup("hot").count() == 300 and table.lookup("k5").count() == 1
+    assert KeyedTable(scratch, df.limit(0), "k", "t").lookup("hot").count() == 0
