@@ -239,6 +239,28 @@ def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def condensed_reach(seeds: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What each seed reaches, itself included, whatever the distance: ``(node, root)`` and ``(root, reached)``.
+
+    Nodes of one strongly connected component reach the same, so that is stored
+    once for a component: which components ``reached`` it leads to. ``seeds``:
+    ``node``; ``members_reached`` writes the nodes out.
+    """
+    member = scratch.save(strong_components(edges, scratch), "members")
+    alone = seeds.select("node").distinct().join(member, "node", "left_anti").select("node", F.col("node").alias("root"))
+    member = scratch.save(member.unionByName(alone), "members")
+    arcs = edges.join(member.withColumnRenamed("node", "src").withColumnRenamed("root", "a"), "src").join(
+        member.withColumnRenamed("node", "dst").withColumnRenamed("root", "b"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    roots = seeds.select("node").distinct().join(member, "node").select("root", F.col("root").alias("node")).distinct()
+    return member, reach(roots, arcs, ["root"], scratch).select("root", F.col("node").alias("reached"))
+
+
+def members_reached(seeds: DataFrame, member: DataFrame, reached: DataFrame) -> DataFrame:
+    """``node, reaches`` of the given seeds, from the tables of ``condensed_reach``."""
+    found = seeds.select("node").distinct().join(member, "node").join(reached, "root").select("node", "reached")
+    return found.join(member.select(F.col("node").alias("reaches"), F.col("root").alias("reached")), "reached").select("node", "reaches")
+
+
 def coloured(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, colour``: the least node that reaches each node, itself included."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

@@ -163,12 +163,16 @@ def persistence(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("watched_dir", watched_dir(F.col("path"))).withColumn("kind_rank", kind_rank)
 
 
-def import_reach(bridge: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int = S.MAX_IMPORT_DEPTH) -> DataFrame:
-    """For every import, the versions it can load and how far away they are."""
-    seeds = bridge.filter("pv IS NOT NULL").select("service", "specifier", F.col("pv").alias("node")).distinct()
-    return reach(seeds, depends_on, ["service", "specifier"], scratch, max_depth).select(
-        "service", "specifier", F.col("node").alias("pv"), F.col("depth").alias("hops")
-    )
+def version_reach(bridge: DataFrame, depends_on: DataFrame, scratch: Scratch, max_depth: int = S.MAX_IMPORT_DEPTH) -> DataFrame:
+    """``root, node, depth``: what each imported version loads, stored once however many imports lead to it."""
+    roots = bridge.filter("pv IS NOT NULL").select(F.col("pv").alias("root")).distinct()
+    return reach(roots.select("root", F.col("root").alias("node")), depends_on, ["root"], scratch, max_depth)
+
+
+def import_reach(bridge: DataFrame, loaded: DataFrame) -> DataFrame:
+    """For every import, the versions it can load and how far away they are. ``loaded``: ``version_reach``."""
+    roots = bridge.filter("pv IS NOT NULL").select("service", "specifier", F.col("pv").alias("root")).distinct()
+    return roots.join(loaded, "root").groupBy("service", "specifier", F.col("node").alias("pv")).agg(F.min("depth").alias("hops"))
 
 
 def code_reach(subjects: DataFrame, import_reach_: DataFrame, calls_external: DataFrame, calls: DataFrame,

@@ -310,9 +310,9 @@ class Fleet:
 
     @cached_property
     def import_reach(self) -> DataFrame:
-        from supplygraph.operators.reach import import_reach
+        from supplygraph.operators.reach import import_reach, version_reach
 
-        return self._keep(import_reach(self.bridge, self.depends_on, self.scratch), "import_reach")
+        return self._keep(import_reach(self.bridge, version_reach(self.bridge, self.depends_on, self.scratch)), "import_reach")
 
     @cached_property
     def heat_edges(self) -> DataFrame:

@@ -542,7 +542,7 @@ def _(fleet):
 
 @query("q_import_reach", "SELECT service, specifier, pv, CAST(hops AS INT) AS hops FROM import_reach")
 def _(fleet):
-    return R.import_reach(fleet.bridge, fleet.depends_on, fleet.scratch)
+    return R.import_reach(fleet.bridge, R.version_reach(fleet.bridge, fleet.depends_on, fleet.scratch))
 
 
 _CODE_SQL = """, im AS (SELECT r.* FROM import_reach r JOIN (SELECT DISTINCT pv FROM affects) a ON a.pv = r.pv), us AS (SELECT * FROM im JOIN calls_external USING (service, specifier)),

@@ -151,7 +151,7 @@ class KeyedTable:
         dealt = df.repartitionByRange(pieces, key).withColumn("_piece", F.spark_partition_id()).sortWithinPartitions("_piece", key)
         dealt.write.partitionBy("_piece").parquet(self.path)
         self.schema = df.schema
-        bounds = self.spark.read.parquet(self.path).groupBy("_piece").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        bounds = self.spark.read.schema(dealt.schema).parquet(self.path).groupBy("_piece").agg(F.min(key).alias("low"), F.max(key).alias("high"))
         self.bounds = scratch.save(bounds.filter("low IS NOT NULL"), "bounds")
 
     def least(self):

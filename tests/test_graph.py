@@ -8,7 +8,7 @@ from supplygraph.operators import advisories as A
 from supplygraph.operators import build as B
 from supplygraph.operators import findings as G
 from supplygraph.operators import reach as R
-from supplygraph.operators.fixpoint import components, reach, rendered, shortest_paths, strong_components, witness_forest
+from supplygraph.operators.fixpoint import components, condensed_reach, members_reached, reach, rendered, shortest_paths, witness_forest
 
 
 def walk(roots, edges):
@@ -291,7 +291,7 @@ def test_paths_of_a_long_chain_take_few_rounds(spark, scratch):
     assert {r.depth: r.path for r in got} == {d: [f"v{i}" for i in range(d + 1)] for d in (700, 1999)}
 
 
-def test_strong_components_over_random_cyclic_graphs(spark, scratch):
+def test_condensed_reach_over_random_cyclic_graphs(spark, scratch):
     for seed, (nodes, links) in enumerate([(30, 45)]):
         rng = random.Random(seed)
         edges = sorted({(f"v{rng.randrange(nodes):02d}", f"v{rng.randrange(nodes):02d}") for _ in range(links)})
@@ -306,8 +306,13 @@ def test_strong_components_over_random_cyclic_graphs(spark, scratch):
                         todo.append(b)
             seen[s] = mine
         want = {s: min(t for t in mine if s in seen[t]) for s, mine in seen.items()}
-        got = strong_components(spark.createDataFrame(edges, "src string, dst string"), scratch)
-        assert {r.node: r.root for r in got.collect()} == want
+        frame, seeds = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("v01",), ("v02",), ("v07",), ("lone",)], "node string")
+        member, reached = condensed_reach(seeds, frame, scratch)
+        assert {r.node: r.root for r in member.collect() if r.node != "lone"} == want
+        # one copy for a component, and written out the nodes themselves
+        assert reached.select("root").distinct().count() == len({want.get(s, s) for s in ("v01", "v02", "v07", "lone")})
+        got = {(r.node, r.reaches) for r in members_reached(seeds, member, reached).collect()}
+        assert got == {(s, t) for s in ("v01", "v02", "v07") for t in seen.get(s, {s})} | {("lone", "lone")}
 
 
 def test_known_rows_of_a_loop_do_not_move(spark, scratch, monkeypatch):
