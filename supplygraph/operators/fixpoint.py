@@ -188,16 +188,16 @@ def rendered(forest: DataFrame, scratch: Scratch, wanted: DataFrame | None = Non
         up = forest.filter("pred is not null").select("pv", F.col("node").alias("src"), F.col("pred").alias("dst"))
         back = reach(wanted.select("pv", "node").distinct(), up, ["pv"], scratch, edge_keys=["pv"])
         forest = forest.join(back.select("pv", "node"), ["pv", "node"], "left_semi")
-    done = GrowingTable(scratch, "paths")
     first = forest.select("pv", "node", "depth", F.col("pred").alias("far"), F.array("node").alias("path"))
-    done.append(first.filter("far is null"))
-    waiting, n = scratch.save_counted(first.filter("far is not null"), "waiting")
-    while n:
-        known = done.read().unionByName(waiting).select("pv", F.col("node").alias("far"), F.col("far").alias("next"), F.col("path").alias("front"))
-        step = scratch.save(waiting.join(known, ["pv", "far"]).select("pv", "node", "depth", F.col("next").alias("far"), F.concat("front", "path").alias("path")), "doubled")
-        done.append(step.filter("far is null"))
-        waiting, n = scratch.save_counted(step.filter("far is not null"), "waiting")
-    out = done.read().drop("far")
+    done, waiting = first.filter("far is null"), first.filter("far is not null")
+    left = not waiting.isEmpty()
+    while left:
+        known = done.unionByName(waiting).select("pv", F.col("node").alias("far"), F.col("far").alias("next"), F.col("path").alias("front"))
+        step = waiting.join(known, ["pv", "far"]).select("pv", "node", "depth", F.col("next").alias("far"), F.concat("front", "path").alias("path"))
+        seen = Observation()
+        step = scratch.save(step.observe(seen, F.count_if(F.col("far").isNotNull()).alias("n")), "doubled")
+        done, waiting, left = done.unionByName(step.filter("far is null")), step.filter("far is not null"), seen.get["n"] > 0
+    out = done.drop("far")
     return out if wanted is None else out.join(wanted.select("pv", "node").distinct(), ["pv", "node"], "left_semi")
 
 
