@@ -17,7 +17,12 @@ is verified against the bucket's least node, and the components of the verified
 pairs are classes; a bucket of one class is done. In the others ``LEADERS`` more
 leaders are drawn, and the members of other classes are verified against them,
 which costs a pair a member and leader. What is left, members of one bucket in
-different classes, is paired and verified in full, which completes the classes.
+different classes, is verified in full, which completes the classes: pairs are
+listed in buckets of up to ``LISTED`` members only. The members of more crowded
+ones are dealt into blocks of bounded size, and two blocks that share a bucket
+meet in one task, where a matrix product gives the overlaps of all their texts;
+what leaves it is at most one link a text. So a family of texts a little below
+the threshold moves each text once for each block it meets, not for each pair.
 Verified means that the exact overlap of the multisets, sum of least over sum of
 greatest counts, is at least ``SIMILARITY``.
 
@@ -48,6 +53,12 @@ BANDS, ROWS = 48, 8
 SIZE = BANDS * ROWS
 #: Leaders drawn before the members of different classes are paired in full.
 LEADERS = 4
+#: Members of an unsettled bucket up to which its pairs are listed.
+LISTED = 8
+#: Texts and bytes of a block of a crowded bucket, on average.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 4_000_000
+#: Shingles of a matrix product.
+COLUMNS = 4096
 #: Points of a process that are made at once.
 BLOCK = 16
 NODE = ["b1", "b2"]
@@ -186,6 +197,67 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return full.mapInArrow(lambda batches: _verify(batches, least), "a1 long, a2 long, c1 long, c2 long")
 
 
+def bridges(group: pa.Table, least: float) -> pa.Table:
+    """Links between the classes ``root`` of texts of side 0 and side 1 (of side 0 alone if there is no other), one less than it joins at most."""
+    side = group.column("side").to_numpy()
+    bags = Bags(group.column("text").combine_chunks())
+    one = np.flatnonzero(side == 0)
+    two = np.flatnonzero(side == 1) if (side == 1).any() else one
+    # the k-th copy of a shingle is a column of its own, so that common columns are the least counts
+    row = np.repeat(bags.row, bags.count)
+    copy = np.arange(len(row)) - np.repeat(np.cumsum(bags.count) - bags.count, bags.count)
+    _, column, held = np.unique(C.mixed(np.repeat(bags.shingle, bags.count) + C.mixed(copy.astype(np.uint64))), return_inverse=True, return_counts=True)
+    row, column = row[held[column] > 1], column[held[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(one), len(two)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        holds = np.zeros((bags.rows, COLUMNS), np.float32)
+        holds[row[at], column[at] - low] = 1
+        common += holds[one] @ holds[two].T
+    near = common / np.maximum(bags.weight[one][:, None] + bags.weight[two][None, :] - common, 1) >= least - 1e-12
+    _, class_of = np.unique(np.stack((group.column("r1").to_numpy(), group.column("r2").to_numpy())), axis=1, return_inverse=True)
+    parent = np.arange(class_of.max() + 1)
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    i, j = np.nonzero(near & (class_of[one][:, None] != class_of[two][None, :]))
+    for a, b in zip(one[i].tolist(), two[j].tolist(), strict=True):
+        x, y = top(class_of[a]), top(class_of[b])
+        if x != y:
+            parent[x] = y
+            found.append((a, b))
+    a, b = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+    own, other = group.take(a), group.take(b)
+    return pa.table({"a1": own.column("b1"), "a2": own.column("b2"), "c1": other.column("b1"), "c2": other.column("b2")})
+
+
+def met_in_blocks(left: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """``a1, a2, c1, c2``: links that join the classes of ``left`` (``bucket, b1, b2, root``) as its members' overlaps do."""
+    sizes = left.join(texts.select(*NODE, F.octet_length("text").alias("bytes")), NODE).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    crowded = sizes.where(F.col("n") > LISTED).select("bucket", "n", F.expr(f"greatest(1, n div {BLOCK_TEXTS}, bytes div {BLOCK_BYTES})").alias("pieces"))
+    crowded = left.join(crowded, "bucket")
+    # a block is a part of its members' most crowded bucket
+    home = crowded.groupBy(*NODE).agg(F.max(F.struct("n", "bucket", "pieces")).alias("home"), F.min("root").alias("root"))
+    home = scratch.save(home.select(*NODE, "root", F.xxhash64("home.bucket", F.expr("pmod(xxhash64(b1, b2), home.pieces)")).alias("block")), "blocks")
+    in_bucket = crowded.select("bucket", *NODE).join(home, NODE).select("bucket", "block").distinct()
+    meet = in_bucket.withColumnRenamed("block", "x").join(in_bucket.withColumnRenamed("block", "y"), "bucket").where("x <= y").select("x", "y").distinct()
+    meet = scratch.save(meet, "meetings")
+    sides = [
+        meet.where(where).join(home.withColumnRenamed("block", at), at).select("x", "y", *NODE, "root", F.lit(side).alias("side"))
+        for side, at, where in ((0, "x", "true"), (1, "y", "x <> y"))
+    ]
+    full = sides[0].unionByName(sides[1]).join(texts, NODE).select("x", "y", *NODE, F.col("root.b1").alias("r1"), F.col("root.b2").alias("r2"), "side", "text")
+    return full.groupBy("x", "y").applyInArrow(lambda group: bridges(group, least), "a1 long, a2 long, c1 long, c2 long")
+
+
 def as_links(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.struct(F.col("a1").alias("b1"), F.col("a2").alias("b2")).alias("a"), F.struct(F.col("c1").alias("b1"), F.col("c2").alias("b2")).alias("b"))
 
@@ -199,6 +271,14 @@ def unsettled(member: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[Da
     return scratch.save_counted(placed.join(mixed, "bucket", "left_semi"), "unsettled")
 
 
+def between(one: DataFrame, two: DataFrame) -> DataFrame:
+    """``a1, a2, c1, c2``: pairs of one bucket and different classes, the lesser node first, each once."""
+    left = one.select("bucket", F.struct(*NODE).alias("p"), F.col("root").alias("root_p"))
+    right = two.select("bucket", F.struct(*NODE).alias("q"), F.col("root").alias("root_q"))
+    pairs = left.join(right, "bucket").where("root_p <> root_q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("c"))
+    return pairs.select(F.col("a.b1").alias("a1"), F.col("a.b2").alias("a2"), F.col("c.b1").alias("c1"), F.col("c.b2").alias("c2")).distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``KEY, root1, root2, b1, b2``: the class of every document, null for those without words."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -218,20 +298,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = scratch.save(keyed.join(wanted, C.KEY).groupBy(*NODE).agg(F.first("text").alias("text")), "texts")
     near = scratch.save(verified(star, texts, least), "near")
     links, tried = near, star
-    for full in (False, True):
-        left, n = unsettled(member, links, scratch)
-        if not n:
-            break
-        two = left.select("bucket", F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("root").alias("root_c"))
+    left, n = unsettled(member, links, scratch)
+    if n:
         drawn = [F.min_by(F.struct(*NODE, "root"), F.xxhash64(*NODE, F.lit(k))) for k in range(LEADERS)]
-        one = left if full else left.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("ls")).select("bucket", F.explode("ls").alias("l")).select("bucket", "l.*")
-        one = one.select("bucket", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("root").alias("root_a"))
-        ordered = F.expr("a1 < c1 or a1 = c1 and a2 < c2")
-        pairs = one.join(two, "bucket").where("root_a <> root_c" + (" and (a1 < c1 or a1 = c1 and a2 < c2)" if full else "")).select(
-            *[F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a1", "c1"), ("a2", "c2"), ("c1", "a1"), ("c2", "a2"))],
-        ).distinct()
-        pairs = scratch.save(pairs.join(tried, ["a1", "a2", "c1", "c2"], "left_anti"), "pairs")
+        leaders = left.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("ls")).select("bucket", F.explode("ls").alias("l")).select("bucket", "l.*")
+        pairs = scratch.save(between(leaders, left).join(tried, ["a1", "a2", "c1", "c2"], "left_anti"), "pairs")
         links, tried = links.unionByName(scratch.save(verified(pairs, texts, least), "more")), tried.unionByName(pairs)
+        left, n = unsettled(member, links, scratch)
+    if n:
+        few = left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") <= LISTED).select("bucket")
+        few = left.join(few, "bucket", "left_semi")
+        pairs = scratch.save(between(few, few).join(tried, ["a1", "a2", "c1", "c2"], "left_anti"), "pairs")
+        links = links.unionByName(scratch.save(verified(pairs, texts, least), "more")).unionByName(scratch.save(met_in_blocks(left, texts, least, scratch), "bridges"))
     every = components(as_links(links), scratch).select(F.col("node.b1").alias("b1"), F.col("node.b2").alias("b2"), "root")
     # copies of a text share its node; a class is named by its least node
     rows = signed.select(*C.KEY, *NODE).join(every, NODE, "left")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from supplygraph.llm import near
 
@@ -56,8 +57,22 @@ def corpus():
     return rows
 
 
-def test_classes_match_all_pairs(documents):
-    rows = corpus()
+def family():
+    """Texts a little more or less similar to one another than the threshold, with long and repeated ones among them."""
+    rnd = random.Random(6)
+    base = [rnd.choice("abcdefghij") + str(rnd.randrange(9)) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base) * rnd.choice([1, 1, 1, 1, 1, 2])
+        for _ in range(rnd.randrange(1, 5)):
+            words[rnd.randrange(len(words))] = str(rnd.randrange(40))
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("rows", "block"), [(corpus(), 256), (family(), 16)], ids=["corpus", "family"])
+def test_classes_match_all_pairs(documents, monkeypatch, rows, block):
+    monkeypatch.setattr(near, "BLOCK_TEXTS", block)
     bags, parent = [bag(t) for _, t in rows], list(range(len(rows)))
 
     def top(x):
@@ -75,6 +90,28 @@ def test_classes_match_all_pairs(documents):
     assert {r.key_id for r in found if r.stays} == set(want.values())
 
 
+def test_bridges_join_the_classes_that_the_overlaps_join():
+    rows = family()[:60]
+    for sides in ([0] * 60, [k % 2 for k in range(60)]):
+        group = pa.table({
+            "b1": list(range(60)), "b2": [0] * 60, "r1": [k // 2 for k in range(60)], "r2": [0] * 60,
+            "side": sides, "text": [t for _, t in rows],
+        })
+        parent = [k // 2 for k in range(60)]
+        links = [(a, c) for a in range(60) for c in range(a) if (sides == [0] * 60 or sides[a] != sides[c]) and similarity(rows[a][1], rows[c][1]) >= 0.8]
+        found = near.bridges(group, 0.8).to_pylist()
+        assert {(max(r["a1"], r["c1"]), min(r["a1"], r["c1"])) for r in found} <= set(links) and len(found) < 30
+
+        def joined(pairs):
+            label = list(parent)
+            for a, c in pairs:
+                x, y = sorted((label[a], label[c]))
+                label = [x if v == y else v for v in label]
+            return [label.index(v) for v in label]
+
+        assert joined([(r["a1"], r["c1"]) for r in found]) == joined(links)
+
+
 def test_one_of_each_class_stays_with_its_columns(documents):
     text = "one two three four five six seven"
     df = documents([(7, text), (7, text), (3, text), (None, text), (9, ""), (9, "")])
