@@ -241,12 +241,15 @@ def bridges(group: pa.Table, least: float) -> pa.Table:
 
 def met_in_blocks(left: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """``a1, a2, c1, c2``: links that join the classes of ``left`` (``bucket, b1, b2, root``) as its members' overlaps do."""
-    sizes = left.join(texts.select(*NODE, F.octet_length("text").alias("bytes")), NODE).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    crowded = sizes.where(F.col("n") > LISTED).select("bucket", "n", F.expr(f"greatest(1, n div {BLOCK_TEXTS}, bytes div {BLOCK_BYTES})").alias("pieces"))
-    crowded = left.join(crowded, "bucket")
-    # a block is a part of its members' most crowded bucket
-    home = crowded.groupBy(*NODE).agg(F.max(F.struct("n", "bucket", "pieces")).alias("home"), F.min("root").alias("root"))
-    home = scratch.save(home.select(*NODE, "root", F.xxhash64("home.bucket", F.expr("pmod(xxhash64(b1, b2), home.pieces)")).alias("block")), "blocks")
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > LISTED)
+    crowded = scratch.save(left.join(sizes, "bucket"), "crowded")
+    # members of a family take the same bucket as their home: the most crowded one of any node that shares a bucket with them
+    own = crowded.groupBy(*NODE).agg(F.max(F.struct("n", "bucket")).alias("home"))
+    seen = crowded.select("bucket", *NODE).join(own, NODE).groupBy("bucket").agg(F.max("home").alias("home"))
+    home = crowded.join(seen, "bucket").groupBy(*NODE).agg(F.max("home").alias("home"), F.min("root").alias("root")).select(*NODE, "root", F.col("home.bucket").alias("home"))
+    home = scratch.save(home.join(texts.select(*NODE, F.octet_length("text").alias("bytes")), NODE), "homes")
+    pieces = home.groupBy("home").agg(F.expr(f"ceil(greatest(count(*) / {BLOCK_TEXTS}, sum(bytes) / {BLOCK_BYTES}))").alias("pieces"))
+    home = scratch.save(home.join(pieces, "home").select(*NODE, "root", F.expr("xxhash64(home, pmod(xxhash64(b1, b2), pieces))").alias("block")), "blocks")
     in_bucket = crowded.select("bucket", *NODE).join(home, NODE).select("bucket", "block").distinct()
     meet = in_bucket.withColumnRenamed("block", "x").join(in_bucket.withColumnRenamed("block", "y"), "bucket").where("x <= y").select("x", "y").distinct()
     meet = scratch.save(meet, "meetings")
