@@ -8,7 +8,9 @@ from supplygraph.operators import advisories as A
 from supplygraph.operators import build as B
 from supplygraph.operators import findings as G
 from supplygraph.operators import reach as R
+from supplygraph.operators import views as W
 from supplygraph.operators.fixpoint import components, condensed_reach, members_reached, reach, rendered, shortest_paths, witness_forest
+from supplygraph.plans.domain import Fleet
 
 
 def walk(roots, edges):
@@ -354,3 +356,28 @@ def test_a_member_is_told_another_package_as_witness(spark, rows):
     flagged = spark.createDataFrame([("a@2", "a"), ("a@1", "a"), ("b@1", "b")], "pv string, name string")
     links = spark.createDataFrame([("m", "a"), ("m", "b"), ("m", "c"), ("n", "a"), ("n", "a"), ("o", "c")], "maintainer string, name string")
     assert rows(G.witnesses(flagged, links, "maintainer")) == [("m", "a", "b@1"), ("m", "b", "a@1"), ("m", "c", "a@1")]
+
+
+def test_a_closure_dealt_out_by_lockfile_moves_no_row_in_a_round(spark, scratch, monkeypatch):
+    """Its edges and known rows are bucketed by the lockfile; a round shuffles nothing and finds the same."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(i % 7, f"v{rng.randrange(9)}", f"v{rng.randrange(9)}") for i in range(90)], "lock_id long, src string, dst string")
+    roots = spark.createDataFrame([(i % 7, f"s{i % 2}", 5, f"v{i % 4}", i % 3 == 0) for i in range(14)], "lock_id long, service string, observed_at long, pv string, dev boolean")
+    want = sorted(map(tuple, B.closure(roots, edges, scratch).collect()))
+    plans, real = [], session.DealtTable.append
+
+    def spied(self, df, shuffle=False):
+        plans.append((shuffle, df._jdf.queryExecution().executedPlan().toString()))
+        return real(self, df, shuffle)
+
+    monkeypatch.setattr(session.DealtTable, "append", spied)
+    monkeypatch.setattr(session, "DEALT_FROM", 3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, B.closure(roots, edges, scratch).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == want and len(plans) > 3
+    assert all("Exchange" not in text for shuffle, text in plans[2:])
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
