@@ -381,3 +381,12 @@ def test_a_closure_dealt_out_by_lockfile_moves_no_row_in_a_round(spark, scratch,
     assert got == want and len(plans) > 3
     assert all("Exchange" not in text for shuffle, text in plans[2:])
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_imports_are_bridged_by_the_root_copy_the_only_one_or_all(spark, rows):
+    imports = spark.createDataFrame([("s", n) for n in "abcd"] * 2, "service string, specifier string")
+    held = [("s", "a", "a@1"), ("s", "a", "a@2"), ("s", "b", "b@1"), ("s", "b", "b@1"), ("s", "c", "c@1"), ("s", "c", "c@2"), ("t", "d", "d@1")]
+    entries = spark.createDataFrame(held, "service string, name string, pv string")
+    hoisted = spark.createDataFrame([("s", "a@2"), ("s", "a@2"), ("t", "c@1")], "service string, pv string")
+    assert {tuple(r) for r in B.import_bridge(imports, hoisted, entries).collect()} == {
+        ("s", "a", "a@2", "hoisted"), ("s", "b", "b@1", "sole-version"), ("s", "c", "c@1", "ambiguous"), ("s", "c", "c@2", "ambiguous"), ("s", "d", None, "unmatched")}
