@@ -383,6 +383,29 @@ def test_a_closure_dealt_out_by_lockfile_moves_no_row_in_a_round(spark, scratch,
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_imports_of_subjects_are_found_backwards(spark, scratch):
+    bridge = spark.createDataFrame([("s", "a", "a@1"), ("s", "b", "b@1"), ("t", "a", "a@1"), ("t", "z", None)], "service string, specifier string, pv string")
+    depends = spark.createDataFrame([("a@1", "c@1"), ("c@1", "d@1"), ("b@1", "d@1"), ("d@1", "a@1")], "src string, dst string")
+    subjects = spark.createDataFrame([("d@1",), ("x@1",)], "pv string")
+    whole = R.import_reach(bridge, R.version_reach(bridge, depends, scratch)).filter("pv IN ('d@1', 'x@1')")
+    got = sorted(map(tuple, R.imports_reaching(subjects, bridge, depends, scratch).select("service", "specifier", "pv", "hops").collect()))
+    assert got == sorted(map(tuple, whole.select("service", "specifier", "pv", "hops").collect()))
+    assert got == [("s", "a", "d@1", 2), ("s", "b", "d@1", 1), ("t", "a", "d@1", 2)]
+
+
+def test_threats_do_not_write_every_imports_reach(spark):
+    """Only the imports of flagged versions are walked; heat joins layers and writes no table of all edges."""
+    fleet = Fleet(spark, "/root/testdata/sf0.001")
+    assert fleet.threat.count() and fleet.heat.count()
+    assert not {"import_reach", "heat_edges"} & set(fleet.__dict__)
+
+
+def test_layered_heat_is_the_heat_over_all_edges(spark, scratch):
+    fleet = Fleet.of(spark, "/root/testdata/sf0.001")
+    want = R.heat(fleet.affects, R.heat_edges(fleet), scratch)
+    assert sorted(map(tuple, fleet.heat.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_imports_are_bridged_by_the_root_copy_the_only_one_or_all(spark, rows):
     imports = spark.createDataFrame([("s", n) for n in "abcd"] * 2, "service string, specifier string")
     held = [("s", "a", "a@1"), ("s", "a", "a@2"), ("s", "b", "b@1"), ("s", "b", "b@1"), ("s", "c", "c@1"), ("s", "c", "c@2"), ("t", "d", "d@1")]
