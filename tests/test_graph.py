@@ -406,6 +406,12 @@ def test_layered_heat_is_the_heat_over_all_edges(spark, scratch):
     assert sorted(map(tuple, fleet.heat.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_edges_of_a_package_graph_need_no_heat(spark):
+    fleet = Fleet(spark, "/root/testdata/sf0.001")
+    assert W.package_graph(fleet, fleet.incident, heated=False)[1].count() > 0
+    assert "heat" not in fleet.__dict__
+
+
 def test_imports_are_bridged_by_the_root_copy_the_only_one_or_all(spark, rows):
     imports = spark.createDataFrame([("s", n) for n in "abcd"] * 2, "service string, specifier string")
     held = [("s", "a", "a@1"), ("s", "a", "a@2"), ("s", "b", "b@1"), ("s", "b", "b@1"), ("s", "c", "c@1"), ("s", "c", "c@2"), ("t", "d", "d@1")]
