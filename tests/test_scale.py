@@ -77,6 +77,21 @@ def test_every_query_has_checking_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
+def test_sql_of_a_name_nobody_holds_falls_back_to_substrings(spark, tmp_path):
+    """The query takes substrings where no name is equal; so does its SQL, whatever part 1 is called."""
+    import duckdb
+
+    key, con = "view_resolve_package_exact", duckdb.connect()
+    for name in "region nation customer supplier part orders lineitem events documents".split():
+        con.sql(f"CREATE VIEW {name}_0 AS SELECT * FROM '{SF}/{name}.parquet'")
+        text = "SELECT * REPLACE (CASE WHEN p_partkey IN (1, 12) THEN 'red widget-1 big' ELSE p_name END AS p_name) FROM part_0" if name == "part" else f"SELECT * FROM {name}_0"
+        con.sql(f"COPY ({text}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    df = catalog.QUERIES[key](spark, str(tmp_path))
+    want = sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[key]})").fetchall())
+    assert sorted(map(tuple, df.collect())) == want and {r[-1] for r in want} == {"substring"}
+
+
 def test_every_affected_version_gets_its_paths(spark):
     fleet = Fleet.of(spark, SF)
     up = {}
