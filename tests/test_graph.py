@@ -419,3 +419,9 @@ def test_imports_are_bridged_by_the_root_copy_the_only_one_or_all(spark, rows):
     hoisted = spark.createDataFrame([("s", "a@2"), ("s", "a@2"), ("t", "c@1")], "service string, pv string")
     assert {tuple(r) for r in B.import_bridge(imports, hoisted, entries).collect()} == {
         ("s", "a", "a@2", "hoisted"), ("s", "b", "b@1", "sole-version"), ("s", "c", "c@1", "ambiguous"), ("s", "c", "c@2", "ambiguous"), ("s", "d", None, "unmatched")}
+
+
+def test_threat_details_need_no_lockfile_and_no_code(spark):
+    fleet = Fleet(spark, "/root/testdata/sf0.001")
+    assert W.threat_detail(fleet).count() > 0
+    assert not {"threat", "lock_edge", "lock_root", "lock_closure", "bridge", "depends_on"} & set(vars(fleet))
