@@ -425,3 +425,12 @@ def test_threat_details_need_no_lockfile_and_no_code(spark):
     fleet = Fleet(spark, "/root/testdata/sf0.001")
     assert W.threat_detail(fleet).count() > 0
     assert not {"threat", "lock_edge", "lock_root", "lock_closure", "bridge", "depends_on"} & set(vars(fleet))
+
+
+def test_verdicts_need_holders_alone_and_the_holders_are_the_pairs_of_resolved_in(spark):
+    fleet = Fleet(spark, "/root/testdata/sf0.001")
+    rows = {r.pv: r.n_services for r in G.verdict(fleet).collect()}
+    assert not {"threat", "lock_closure", "resolved_in", "bridge", "depends_on"} & set(vars(fleet))
+    pairs = sorted(map(tuple, fleet.resolved_in.select("pv", "service").collect()))
+    assert sorted(map(tuple, fleet.holders.select("pv", "service").collect())) == pairs
+    assert rows == {r.pv: r.n_services for r in fleet.threat.filter("kind <> 'deprecated'").collect()}
