@@ -434,3 +434,23 @@ def test_verdicts_need_holders_alone_and_the_holders_are_the_pairs_of_resolved_i
     pairs = sorted(map(tuple, fleet.resolved_in.select("pv", "service").collect()))
     assert sorted(map(tuple, fleet.holders.select("pv", "service").collect())) == pairs
     assert rows == {r.pv: r.n_services for r in fleet.threat.filter("kind <> 'deprecated'").collect()}
+
+
+def test_loaded_subjects_are_those_with_an_import_in_reach(spark, scratch):
+    rnd = random.Random(5)
+    for bound in (1, 3, 12):
+        edges = {(f"v{rnd.randrange(40)}", f"v{rnd.randrange(40)}") for _ in range(45)}
+        roots, subjects = {f"v{rnd.randrange(40)}" for _ in range(4)}, {f"v{k}" for k in range(0, 40, 2)}
+        bridge = spark.createDataFrame([(r,) for r in roots] + [(None,)], "pv string")
+        got = R.loaded_of(spark.createDataFrame([(s,) for s in subjects], "pv string"), bridge, lambda: spark.createDataFrame(list(edges), "src string, dst string"), scratch, bound)
+        known = set(roots)
+        for _ in range(bound):
+            known |= {b for a, b in edges if a in known}
+        assert sorted(r.pv for r in got.collect()) == sorted(known & subjects)
+
+
+def test_threat_counts_build_no_closure(spark):
+    fleet = Fleet(spark, "/root/testdata/sf0.001")
+    in_code = {r.pv for r in fleet.loaded_threats.collect()}
+    assert not {"threat", "lock_closure", "resolved_in", "calls_external"} & set(vars(fleet))
+    assert in_code == {r.pv for r in fleet.threat.filter("in_code").collect()}
