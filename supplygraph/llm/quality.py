@@ -31,6 +31,8 @@ TRAIN_DOCS = 600
 TRAIN_LINES = 50
 #: Least share of words in content lines.
 CONTENT_SHARE = 0.5
+#: Bytes of text measured at once: a worker keeps some 60 times as much, also while later jobs run.
+SLICE_BYTES = 250_000
 #: Base rule.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -122,7 +124,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], field: ChainCrf | None) -> Iterator[pa.RecordBatch]:
-    for batch in (s for whole in batches for s in C.slices([whole])):
+    for batch in (s for whole in batches for s in C.slices([whole], limit=SLICE_BYTES)):
         m = Measured(batch.column("text"))
         share = np.ones(batch.num_rows)
         if field is not None:
@@ -135,7 +137,7 @@ def _judge(batches: Iterator[pa.RecordBatch], field: ChainCrf | None) -> Iterato
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of a document's first ``TRAIN_LINES`` lines, for training only."""
-    for batch in (s for whole in batches for s in C.slices([whole])):
+    for batch in (s for whole in batches for s in C.slices([whole], limit=SLICE_BYTES)):
         m = Measured(batch.column("text"))
         ends = np.cumsum(m.lines)
         rows = [m.features[e - n: e][:TRAIN_LINES].astype(np.int8).tobytes() for e, n in zip(ends, m.lines, strict=True)]

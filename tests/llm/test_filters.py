@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +121,14 @@ def test_longest_matches_are_maximal(documents, spark):
     row = decontaminate.matches(documents([(4, text)]), benchmark).first()
     best = max(row.longest, key=lambda m: m.length)
     assert (best.item_id, best.item_start, best.start, best.length) == (1, 5, 2, 17)
+
+
+def test_measuring_takes_a_bounded_part_of_a_batch():
+    text = "\n".join(" ".join(f"word{i * j % 97}" for i in range(40)) for j in range(14))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 1_000)], names=["text"])
+    list(quality._judge(iter([batch.slice(0, 2)]), None))
+    tracemalloc.start()
+    n = sum(out.num_rows for out in quality._judge(iter([batch]), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_000 and peak < 40e6
