@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from supplygraph.operators.findings import confidence
 from supplygraph.operators.fixpoint import top_k
+from supplygraph.operators import reach as R
 from supplygraph.operators import views as W
 from supplygraph.plans import catalog
 from supplygraph.plans.domain import Fleet
@@ -152,3 +153,36 @@ def test_keyed_tables_keep_hot_and_null_keys(spark, scratch):
     table = KeyedTable(scratch, df, "k", "t", pieces=8)
     assert table.lookup("hot").count() == 300 and table.lookup("k5").count() == 1
     assert KeyedTable(scratch, df.limit(0), "k", "t").lookup("hot").count() == 0
+
+
+def test_tables_dealt_out_by_lockfile_hold_the_same_rows_and_move_none(spark, monkeypatch):
+    from supplygraph import session
+    from supplygraph.session import keys_apart
+
+    plain = Fleet(spark, SF)
+    monkeypatch.setattr(session, "DEALT_FROM", 0)
+    dealt = Fleet(spark, SF)
+    for table in ("entry", "lock_slot", "lock_edge", "lock_root", "package_version", "external_import", "lock_closure", "resolved_in", "holders", "bridge", "heat"):
+        one, other = getattr(plain, table), getattr(dealt, table)
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.select(*one.columns).collect())), table
+    with keys_apart(spark):
+        for df in (dealt._below, dealt.lock_closure, dealt.external_import):
+            assert "Exchange hashpartitioning" not in plan(df)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, scratch):
+    def blocks():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+
+    before = blocks()
+    scratch.save(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.max("id")), "grouped")
+    assert blocks() <= before
+
+
+def test_heat_of_versions_reads_neither_closure_nor_code(spark):
+    fleet = Fleet(spark, SF)
+    whole = {(r.node, r.heat) for r in R.layered_heat(fleet.affects, R.heat_layers(Fleet.of(spark, SF)), fleet.scratch).collect()}
+    fleet = Fleet(spark, SF)
+    nodes = W.project_graph(fleet)[0]
+    assert not {"bridge", "calls_external", "external_import", "heat", "threat"} & set(vars(fleet))
+    assert {(r.pv, r.heat) for r in nodes.filter("heat IS NOT NULL").collect()} == {(n, h) for n, h in whole if n in {r.pv for r in fleet.resolved_in.collect()}}
