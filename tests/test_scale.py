@@ -199,3 +199,9 @@ def test_services_and_overview_count_neither_imports_nor_functions(spark):
     assert "threat" not in vars(fleet)
     graded = {(r.pv, r.kind, r.severity, r.in_code) for r in G.graded(fleet).collect()}
     assert graded == {(r.pv, r.kind, r.severity, r.in_code) for r in whole.threat.collect()}
+
+
+def test_enrichment_needs_no_closure(spark):
+    fresh = "/root/testdata/./sf0.001"  # tables that no other test has built
+    catalog.QUERIES["st_enrich"](spark, fresh)
+    assert not {"resolved_in", "lock_closure"} & set(vars(Fleet.of(spark, fresh)))
