@@ -205,3 +205,14 @@ def test_enrichment_needs_no_closure(spark):
     fresh = "/root/testdata/./sf0.001"  # tables that no other test has built
     catalog.QUERIES["st_enrich"](spark, fresh)
     assert not {"resolved_in", "lock_closure"} & set(vars(Fleet.of(spark, fresh)))
+
+
+def test_blast_radius_deletes_the_shuffles_of_each_part(spark):
+    from supplygraph.operators import findings as G
+
+    fleet = Fleet.of(spark, SF)
+    none = fleet.package.select(F.col("name").alias("candidate"), F.col("name").alias("target")).limit(0)
+    wide = G.blast_radius(fleet, fleet.incident, none)
+    # the parts are written tables, so the plan reads neither entries nor satisfied ranges
+    files = " ".join(wide.inputFiles())
+    assert "-entry" not in files and "-satisfied_by" not in files and "-resolved_in" not in files
